@@ -56,9 +56,11 @@ def parse(name: str) -> tuple[list[str], bool]:
         if phrase in text:
             text, legal = text.replace(phrase, " "), True
 
+    alone = len([t for t in _TOKEN.findall(_DOTTED.sub(" ", text)) if len(t) > 1]) == 1  # 'Gray, K.G.' has initials, 'Gray Wool K.G.' a legal form
+
     def dotted(m):
         letters = regex.sub(r"\W", "", m.group())
-        return f" {letters} " if letters in LEGAL else " " + " ".join(letters) + " "
+        return f" {letters} " if letters in LEGAL and not (alone and len(letters) == 2 and "," in text) else " " + " ".join(letters) + " "
 
     tokens = _TOKEN.findall(_DOTTED.sub(dotted, text))
     firm = [t for t in tokens if t not in LEGAL and t != "&"]
