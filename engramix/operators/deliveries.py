@@ -71,7 +71,7 @@ def to_ranges(numbers: DataFrame) -> DataFrame:
 
     Islands are found within blocks first, so no task holds all numbers of a hot producer.
     """
-    blocks = numbers.groupBy("__producer", F.floor(F.col("__seq") / BLOCK).alias("block"), "__seq").agg()
+    blocks = numbers.select("__producer", F.floor(F.col("__seq") / BLOCK).alias("block"), "__seq").distinct()
     w = W.partitionBy("__producer", "block").orderBy("__seq")
     islands = blocks.withColumn("island", F.col("__seq") - F.row_number().over(w)).groupBy("__producer", "block", "island").agg(F.min("__seq").alias("lo"), F.max("__seq").alias("hi"))
     return merge_ranges(islands.select(F.col("__producer").alias("producer"), "lo", "hi"))
