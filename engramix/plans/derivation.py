@@ -51,7 +51,7 @@ def topic_vectors(spark, folder):
 
 def session_summaries(spark, folder):
     """The first distinct messages of each session, up to 400 characters."""
-    m = read(spark, folder, "ingest_messages", "session_id", "content", "msg_timestamp", "delivery_id").where("session_id is not null and content is not null and length(content) < 400")
+    m = read(spark, folder, "ingest_messages", "session_id", "content", "msg_timestamp", "delivery_id").where("session_id is not null and content is not null")
     return derive.first_claims(m, "session_id", "content", "msg_timestamp", "delivery_id", 5, 400).select("session_id", F.length("summary").alias("chars"), F.md5("summary").alias("digest"))
 
 
@@ -130,7 +130,7 @@ SQL = {
     "episode_patterns": """SELECT event_type AS action, CASE WHEN user_id % 3 = 0 THEN 'failure' ELSE 'success' END AS outcome, count(*) AS n, round(avg(coalesce(least(1.0, value / 100), 0.5)), 6) AS mean_importance FROM events GROUP BY 1, 2 HAVING count(*) >= 3 AND avg(coalesce(least(1.0, value / 100), 0.5)) > 0.3""",
     "topic_vectors": """WITH x AS (SELECT label, unnest(embedding)::DOUBLE AS v, unnest(range(1, 65)) AS i FROM embeddings WHERE len(embedding) = 64), m AS (SELECT label, i, avg(v) AS v FROM x GROUP BY 1, 2)
         SELECT label, round(max(v) FILTER (i = 1), 6) AS first, round(sum(v * v), 6) AS squared_length FROM m GROUP BY 1""",
-    "session_summaries": """WITH m AS (SELECT session_id, lower(trim(content, ' ')) AS k, (msg_timestamp, delivery_id) AS o, trim(content, ' ') AS c FROM ingest_messages WHERE session_id IS NOT NULL AND content IS NOT NULL AND length(content) < 400 AND trim(content, ' ') <> ''),
+    "session_summaries": """WITH m AS (SELECT session_id, lower(trim(content, ' ')) AS k, (msg_timestamp, delivery_id) AS o, trim(content, ' ') AS c FROM ingest_messages WHERE session_id IS NOT NULL AND content IS NOT NULL AND trim(content, ' ') <> ''),
         f AS (SELECT session_id, min(o) AS o, arg_min(c, o) AS c FROM m GROUP BY session_id, k), r AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY o) AS n FROM f), t AS (SELECT session_id, left(string_agg(c, ' ' ORDER BY n), 400) AS s FROM r WHERE n <= 5 GROUP BY 1)
         SELECT session_id, length(s)::INT AS chars, md5(s) AS digest FROM t""",
     "entity_merge": f"""WITH n AS (SELECT *, {_NAME.format('text')} AS name FROM ner_spans WHERE text IS NOT NULL AND entity_type IS NOT NULL)

@@ -60,7 +60,7 @@ def rule_observations(spark, folder):
 
 
 def question_literals(spark, folder):
-    m = read(spark, folder, "ingest_messages", "delivery_id", "content").where("content like '%?' and length(content) < 300")
+    m = read(spark, folder, "ingest_messages", "delivery_id", "content").where("content like '%?'")
     return m.select("delivery_id", F.array_join(extract.literals(F.col("content")), "|").alias("literals")).where("literals <> ''")
 
 

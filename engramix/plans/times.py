@@ -25,10 +25,11 @@ def interval_contains(spark, folder):
 
 
 def interval_overlap(spark, folder):
-    """Orders of one nation's customers that hold at the same time as one of supplier-like windows of 10 days."""
-    i = _order_intervals(spark, folder).withColumn("k", F.pmod("o_custkey", F.lit(7)))
-    w = read(spark, folder, "lineitem", "l_orderkey", "l_linenumber", "l_partkey", "l_shipdate").where("l_partkey % 97 = 0").select(F.pmod("l_partkey", F.lit(7)).alias("k"), F.col("l_orderkey"), "l_linenumber", T.millis(F.col("l_shipdate")).alias("lo"), (T.millis(F.col("l_shipdate")) + 10 * T.DAY_MS).alias("hi"))
-    return T.overlap_join(w, i, ["k"]).groupBy("l_orderkey", "l_linenumber").agg(F.count("*").alias("overlapping"))
+    """For each line, the orders of its customer that hold within 10 days from its shipping."""
+    i = _order_intervals(spark, folder)
+    line = read(spark, folder, "lineitem", "l_orderkey", "l_linenumber", "l_shipdate").join(i.select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey"), "l_orderkey")
+    shipped = line.select("o_custkey", "l_orderkey", "l_linenumber", T.millis(F.col("l_shipdate")).alias("lo"), (T.millis(F.col("l_shipdate")) + 10 * T.DAY_MS).alias("hi"))
+    return T.overlap_join(shipped, i, ["o_custkey"], 180 * T.DAY_MS).groupBy("l_orderkey", "l_linenumber").agg(F.count("*").alias("overlapping"))
 
 
 def relevance_decay(spark, folder):
@@ -60,8 +61,8 @@ PHRASES = ("met her yesterday", "due tomorrow", "do it today", "seen last weeken
 
 
 def phrase_points(spark, folder):
-    """Every phrase resolved against the time of some messages."""
-    m = read(spark, folder, "ingest_messages", "delivery_id", "msg_timestamp").where("delivery_id % 400 = 1")
+    """Every phrase resolved against the time of each message."""
+    m = read(spark, folder, "ingest_messages", "delivery_id", "msg_timestamp")
     p = spark.createDataFrame(list(enumerate(PHRASES)), "phrase_no int, phrase string")
     joined = m.withColumn("phrase_no", F.explode(F.sequence(F.lit(0), F.lit(len(PHRASES) - 1)))).join(F.broadcast(p), "phrase_no")
     r = T.resolve_phrase(F.col("phrase"), F.col("msg_timestamp"))
@@ -76,14 +77,14 @@ _T = "t"
 
 SQL = {
     "interval_contains": f"WITH {_INTERVALS} SELECT o_orderkey, o_custkey, lo FROM i WHERE lo <= {_MS.format(chr(39).join(['TIMESTAMP ', '1995-06-17', '']))} AND {_MS.format(chr(39).join(['TIMESTAMP ', '1995-06-17', '']))} < hi",
-    "interval_overlap": f"""WITH {_INTERVALS}, w AS (SELECT l_partkey % 7 AS k, l_orderkey, l_linenumber, {_MS.format('l_shipdate')} AS lo, {_MS.format('l_shipdate')} + 864000000 AS hi FROM lineitem WHERE l_partkey % 97 = 0)
-        SELECT l_orderkey, l_linenumber, count(*) AS overlapping FROM w JOIN i ON w.k = i.o_custkey % 7 AND w.lo < i.hi AND i.lo < w.hi AND i.lo < i.hi GROUP BY 1, 2""",
+    "interval_overlap": f"""WITH {_INTERVALS}, w AS (SELECT o_custkey, l_orderkey, l_linenumber, {_MS.format('l_shipdate')} AS lo, {_MS.format('l_shipdate')} + 864000000 AS hi FROM lineitem JOIN i ON l_orderkey = o_orderkey)
+        SELECT l_orderkey, l_linenumber, count(*) AS overlapping FROM w JOIN i ON w.o_custkey = i.o_custkey AND w.lo < i.hi AND i.lo < w.hi AND i.lo < i.hi GROUP BY 1, 2""",
     "relevance_decay": f"""SELECT event_id, user_id, relevance FROM (SELECT event_id, user_id, round(least(1.0, value / 100) * exp(-ln(2.0) / 7.0 * (({_MS.format("TIMESTAMP '2024-02-01'")} - {_MS.format('ts')}) // 86400000)) + 1e-9, 6) AS relevance FROM events) WHERE relevance <= 0.2""",
     "rolling_errors": f"""SELECT user_id, max(recent) AS most FROM (SELECT user_id, count(*) OVER (PARTITION BY user_id ORDER BY {_MS.format('ts')} RANGE BETWEEN 604800000 PRECEDING AND CURRENT ROW) AS recent FROM events WHERE event_type = 'error') GROUP BY 1 HAVING max(recent) > 4""",
     "activity_sessions": f"""WITH g AS (SELECT event_id, user_id, ts, CASE WHEN {_MS.format('ts')} - lag({_MS.format('ts')}) OVER w > 7200000 THEN 1 ELSE 0 END AS o FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
         s AS (SELECT user_id, event_id, (sum(o) OVER (PARTITION BY user_id ORDER BY ts, event_id) + 1)::BIGINT AS part FROM g) SELECT user_id, part, count(*) AS events, min(event_id) AS first_event FROM s GROUP BY 1, 2""",
     "tumbling_counts": "SELECT date_trunc('day', ts)::TIMESTAMP AS day, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2",
-    "phrase_points": """WITH m AS (SELECT delivery_id, msg_timestamp AS t, (isodow(msg_timestamp) - 1)::INT AS wd FROM ingest_messages WHERE delivery_id % 400 = 1), r AS (
+    "phrase_points": """WITH m AS (SELECT delivery_id, msg_timestamp AS t, (isodow(msg_timestamp) - 1)::INT AS wd FROM ingest_messages), r AS (
         SELECT delivery_id, unnest([
           {'n': 0, 'p': t - INTERVAL 1 DAY, 'g': 'day'}, {'n': 1, 'p': t + INTERVAL 1 DAY, 'g': 'day'}, {'n': 2, 'p': t, 'g': 'day'}, {'n': 3, 'p': t - INTERVAL 7 DAY, 'g': 'week'}, {'n': 4, 'p': t - INTERVAL 2 DAY, 'g': 'day'},
           {'n': 5, 'p': t + INTERVAL 21 DAY, 'g': 'week'}, {'n': 6, 'p': t - to_days(CASE WHEN wd = 0 THEN 7 ELSE wd END), 'g': 'day'}, {'n': 7, 'p': t + to_days(CASE WHEN wd = 4 THEN 7 ELSE (4 - wd + 7) % 7 END), 'g': 'day'}, {'n': 8, 'p': t + to_days(1 - wd), 'g': 'day'},
