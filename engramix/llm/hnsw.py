@@ -14,7 +14,7 @@ from dataclasses import dataclass
 import numpy as np
 
 #: Links of a node on the upper layers and on the lowest one, candidates while building, and the share that rises a layer.
-LINKS, LINKS0, BUILD, RISE = 8, 16, 48, 16
+LINKS, LINKS0, BUILD, RISE = 16, 32, 96, 16
 
 
 @dataclass

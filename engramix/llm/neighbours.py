@@ -23,9 +23,11 @@ from engramix.llm import hnsw
 from engramix.session import cut
 
 #: Vectors of a shard on average, rows of the sample that the centroids are fitted on, topics asked by each vector, and queries of a task.
-SHARD, SAMPLE, PROBES, QUERIES = 4096, 20_000, 4, 16_384
+SHARD, SAMPLE, PROBES, QUERIES = 8192, 20_000, 8, 16_384
 #: Candidates kept while walking a graph: from the vector's own node, and from above.
-BREADTH_OWN, BREADTH = 16, 24
+BREADTH_OWN, BREADTH = 16, 48
+#: Shard size, topics and candidates for pairs above a high cosine, which lie in one topic or in the nearest ones.
+CLOSE = {"shard": 4096, "probes": 4, "breadth": 24}
 
 
 def units(column: pa.Array, dimension: int) -> tuple[np.ndarray, np.ndarray]:
@@ -54,7 +56,7 @@ def centroids(sample: np.ndarray, topics: int, rounds: int = 8, seed: int = 7) -
     return found.astype(np.float32)
 
 
-def nearest(rows: DataFrame, id_col: str, vector_col: str, k: int = 5, probes: int = PROBES, shard: int = SHARD) -> DataFrame:
+def nearest(rows: DataFrame, id_col: str, vector_col: str, k: int = 5, probes: int = PROBES, shard: int = SHARD, breadth: int = BREADTH) -> DataFrame:
     """(id, neighbours array<struct<distance, id>>) of every usable vector: its k most similar rows by cosine.
 
     ``distance`` is minus the cosine, so that the array is sorted; equal cosines are ordered by id. A vector is
@@ -133,11 +135,11 @@ def nearest(rows: DataFrame, id_col: str, vector_col: str, k: int = 5, probes: i
         q = np.frombuffer(b"".join(queries["unit"]), dtype=np.float32).reshape(-1, dimension)
         own = np.array([place.get(key, -1) for key in queries["key"]], dtype=np.int64)
         out = []
-        for mine, breadth in ((True, BREADTH_OWN), (False, BREADTH)):
+        for mine, wide in ((True, BREADTH_OWN), (False, breadth)):
             rows_ = np.flatnonzero((own >= 0) == mine)
             if not len(rows_):
                 continue
-            nodes, sims = hnsw.search(graph, q[rows_], k + 1, max(breadth, k + 1), own[rows_])
+            nodes, sims = hnsw.search(graph, q[rows_], k + 1, max(wide, k + 1), own[rows_])
             cand = np.where((nodes >= 0)[:, :, None], ids[nodes], -1).reshape(len(rows_), -1)
             dist = np.repeat(-sims, k + 1, axis=1)
             dist[cand < 0] = np.inf
@@ -160,5 +162,5 @@ def nearest(rows: DataFrame, id_col: str, vector_col: str, k: int = 5, probes: i
 
 def similar_pairs(rows: DataFrame, id_col: str, vector_col: str, least: float = 0.85, k: int = 5, **options) -> DataFrame:
     """(id_a, id_b), a < b: rows of which one is among the k most similar of the other, with a cosine of at least ``least``."""
-    found = nearest(rows, id_col, vector_col, k, **options).select("id", F.explode("neighbours").alias("n")).where(F.col("n.distance") <= -least + 1e-7)
+    found = nearest(rows, id_col, vector_col, k, **(CLOSE | options)).select("id", F.explode("neighbours").alias("n")).where(F.col("n.distance") <= -least + 1e-7)
     return found.select(F.least("id", "n.id").alias(f"{id_col}_a"), F.greatest("id", "n.id").alias(f"{id_col}_b")).distinct()
