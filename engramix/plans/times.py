@@ -73,10 +73,10 @@ QUERIES = {f.__name__: f for f in (interval_contains, interval_overlap, relevanc
 
 _MS = "(epoch_us({0}) // 1000)"
 _INTERVALS = f"i AS (SELECT o_orderkey, o_custkey, {_MS.format('o_orderdate')} AS lo, coalesce(lead({_MS.format('o_orderdate')}) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey), 9223372036854775807) AS hi FROM orders)"
-_T = "t"
+_AT = _MS.format("TIMESTAMP '1995-06-17'")
 
 SQL = {
-    "interval_contains": f"WITH {_INTERVALS} SELECT o_orderkey, o_custkey, lo FROM i WHERE lo <= {_MS.format(chr(39).join(['TIMESTAMP ', '1995-06-17', '']))} AND {_MS.format(chr(39).join(['TIMESTAMP ', '1995-06-17', '']))} < hi",
+    "interval_contains": f"WITH {_INTERVALS} SELECT o_orderkey, o_custkey, lo FROM i WHERE lo <= {_AT} AND {_AT} < hi",
     "interval_overlap": f"""WITH {_INTERVALS}, w AS (SELECT o_custkey, l_orderkey, l_linenumber, {_MS.format('l_shipdate')} AS lo, {_MS.format('l_shipdate')} + 864000000 AS hi FROM lineitem JOIN i ON l_orderkey = o_orderkey)
         SELECT l_orderkey, l_linenumber, count(*) AS overlapping FROM w JOIN i ON w.o_custkey = i.o_custkey AND w.lo < i.hi AND i.lo < w.hi AND i.lo < i.hi GROUP BY 1, 2""",
     "relevance_decay": f"""SELECT event_id, user_id, relevance FROM (SELECT event_id, user_id, round(least(1.0, value / 100) * exp(-ln(2.0) / 7.0 * (({_MS.format("TIMESTAMP '2024-02-01'")} - {_MS.format('ts')}) // 86400000)) + 1e-9, 6) AS relevance FROM events) WHERE relevance <= 0.2""",
@@ -93,4 +93,3 @@ SQL = {
           {'n': 16, 'p': t - INTERVAL 300 DAY, 'g': 'month'}, {'n': 17, 'p': t - INTERVAL 1 YEAR, 'g': 'year'}]) AS x FROM m)
         SELECT delivery_id, x.n::INT AS phrase_no, x.p::TIMESTAMP AS point, x.g AS granularity FROM r""",
 }
-del _T
