@@ -73,19 +73,16 @@ def personalised_pagerank(edges: DataFrame, seeds: DataFrame, damping: float = 0
 def cooccurrence(mentions: DataFrame, source: str, entity: str, most: int = 200) -> DataFrame:
     """(a, b, weight), a < b: in how many sources two entities stand together.
 
-    A source with more than ``most`` entities says little of any pair and would give their square: its
-    pairs are limited to neighbours in order of the entity, ``most`` on either side.
+    A source with more than ``most`` entities is split by hash into blocks of about that size; each block
+    meets each other under a key of its own, so that no task holds all pairs of a source. Weights are combined before the shuffle.
     """
     pairs = mentions.where(F.col(source).isNotNull() & F.col(entity).isNotNull()).select(F.col(source).alias("s"), F.col(entity).alias("e")).distinct()
-    listed = pairs.groupBy("s").agg(F.count("*").alias("n"))
-    small = pairs.join(listed.where(F.col("n") <= most), "s").select("s", "e")
-    joined = small.join(small.select(F.col("s"), F.col("e").alias("b")), "s").where("e < b").select(F.col("e").alias("a"), "b")
-    from pyspark.sql import Window as W
-
-    big = pairs.join(listed.where(F.col("n") > most), "s").withColumn("at", F.row_number().over(W.partitionBy("s").orderBy("e")))
-    near = big.withColumn("to", F.explode(F.sequence(F.col("at") + 1, F.col("at") + most)))
-    far = near.join(big.select(F.col("s"), F.col("at").alias("to"), F.col("e").alias("b")), ["s", "to"]).select(F.col("e").alias("a"), "b")
-    return joined.unionByName(far).groupBy("a", "b").agg(F.count("*").alias("weight"))
+    listed = pairs.groupBy("s").agg(F.ceil(F.count("*") / most).alias("blocks"))
+    placed = pairs.join(listed, "s").withColumn("at", F.pmod(F.xxhash64("e"), "blocks"))
+    left = placed.select("s", "e", F.col("at").alias("i"), F.explode(F.sequence("at", F.col("blocks") - 1)).alias("j"))
+    right = placed.select("s", F.col("e").alias("b"), F.explode(F.sequence(F.lit(0).cast("long"), "at")).alias("i"), F.col("at").alias("j"))
+    met = left.join(right, ["s", "i", "j"]).where("i < j or e < b")
+    return met.groupBy(F.least("e", "b").alias("a"), F.greatest("e", "b").alias("b")).agg(F.count("*").alias("weight"))
 
 
 def label_propagation(edges: DataFrame, rounds: int = 20, largest: int = 50_000) -> DataFrame:

@@ -88,6 +88,12 @@ def test_graph(spark):
     assert graph.label_propagation(two, largest=1).count() == 5
 
 
+def test_cooccurrence_counts_all_pairs_of_large_sources(spark):
+    rows = [(1, i) for i in range(450)] + [(2, i) for i in range(0, 450, 149)] + [(None, 1), (3, None), (1, 5)]
+    got = {(r["a"], r["b"]): r["weight"] for r in graph.cooccurrence(spark.createDataFrame(rows, "s int, e int"), "s", "e").collect()}
+    assert got == {(a, b): 1 + (a % 149 == 0 and b % 149 == 0) for a in range(450) for b in range(a + 1, 450)}
+
+
 def test_mutations(spark):
     m = spark.createDataFrame([(1, "s", "a", None, 1), (2, "s", "b", [], 2), (3, "s", "a", ["z"], 3)], "d int, s string, p string, t array<string>, at int")
     assert sorted(map(tuple, mutate.recipients(m, "s", "p", "t", "at", "d").collect())) == [(2, "a"), (3, "z")]
