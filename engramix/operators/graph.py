@@ -88,9 +88,10 @@ def cooccurrence(mentions: DataFrame, source: str, entity: str, most: int = 200)
 def label_propagation(edges: DataFrame, rounds: int = 20, largest: int = 50_000) -> DataFrame:
     """(node, label): communities of a weighted undirected graph (a, b, weight).
 
-    Components of up to ``largest`` nodes are settled exactly as the sequential algorithm does: nodes in order, each taking the
-    label with the greatest weight among its neighbours, on ties the smallest. Larger ones
-    take the same step for all nodes at once, with joins.
+    Nodes take turns in order, each taking the label with the greatest weight among its neighbours, on ties the
+    smallest; ends when a whole pass changes nothing, at the latest after ``rounds``. Components of up to ``largest`` nodes are
+    settled by one task each; larger ones by joins, with the same labels: a pass is repeated for all nodes at once, with the
+    fresh labels of smaller neighbours, until they stand still, which only the sequential result does.
     """
     both = cut(edges.select(F.col("a").alias("u"), F.col("b").alias("v"), F.col("weight").cast("double").alias("w")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v"), F.col("weight").cast("double").alias("w"))))
     parts = cut(components(both.select(F.col("u").alias("id")), both.select(F.col("u").alias("src"), F.col("v").alias("dst"))))
@@ -123,11 +124,20 @@ def label_propagation(edges: DataFrame, rounds: int = 20, largest: int = 50_000)
     big = tagged.where(F.col("n") > largest).select("u", "v", "w")
     if big.isEmpty():
         return small
-    state = cut(big.select(F.col("u").alias("node"), F.col("u").alias("label")).distinct())
+    state = cut(big.select(F.col("u").alias("node"), F.col("u").alias("old"), F.col("u").alias("label")).distinct())
     for _ in range(rounds):
-        tally = big.join(state, big["v"] == state["node"]).groupBy("u", "label").agg(F.sum("w").alias("w"))
-        state = cut(tally.groupBy("u").agg(F.min(F.struct(-F.col("w"), F.col("label"))).alias("m")).select(F.col("u").alias("node"), F.col("m.label").alias("label")))
-    return small.unionByName(state)
+        while True:
+            seen = F.when(F.col("v") < F.col("u"), F.col("label")).otherwise(F.col("old"))
+            tally = big.join(state, big["v"] == state["node"]).select("u", seen.alias("label"), "w").groupBy("u", "label").agg(F.sum("w").alias("w"))
+            best = tally.groupBy("u").agg(F.min(F.struct(-F.col("w"), F.col("label"))).alias("m")).select(F.col("u").alias("node"), F.col("m.label").alias("fresh"))
+            state = cut(state.join(best, "node").select("node", "old", F.col("fresh").alias("label"), (F.col("fresh") != F.col("label")).alias("moved")))
+            if state.where("moved").isEmpty():
+                break
+        passed = state.where("label != old").isEmpty()
+        state = state.select("node", F.col("label").alias("old"), "label")
+        if passed:
+            break
+    return small.unionByName(state.select("node", "label"))
 
 
 def descendants(parents: DataFrame, child: str, parent: str, most: int = 5) -> DataFrame:

@@ -1,3 +1,4 @@
+import random
 from datetime import datetime
 
 import pytest
@@ -94,6 +95,14 @@ def test_cooccurrence_counts_all_pairs_of_large_sources(spark):
     assert got == {(a, b): 1 + (a % 149 == 0 and b % 149 == 0) for a in range(450) for b in range(a + 1, 450)}
 
 
+def test_labels_are_alike_below_and_above_the_limit(spark):
+    rnd = random.Random(3)
+    edges = {tuple(sorted(rnd.sample(range(24), 2))): rnd.randint(1, 3) for _ in range(34)} | {(30, 31): 1}
+    frame = spark.createDataFrame([(a, b, w) for (a, b), w in edges.items()], "a int, b int, weight int")
+    small, big = ({r["node"]: r["label"] for r in graph.label_propagation(frame, largest=n).collect()} for n in (50, 1))
+    assert small == big and big[30] == big[31]
+
+
 def test_mutations(spark):
     m = spark.createDataFrame([(1, "s", "a", None, 1), (2, "s", "b", [], 2), (3, "s", "a", ["z"], 3)], "d int, s string, p string, t array<string>, at int")
     assert sorted(map(tuple, mutate.recipients(m, "s", "p", "t", "at", "d").collect())) == [(2, "a"), (3, "z")]
