@@ -121,12 +121,12 @@ def short_of(a: str, b: str) -> bool:
     return len(s) >= 3 and len(t) >= 5 and len(s) < 0.7 * len(t) and s[0] == t[0] and lcs(s, t) == len(s) and s[-1] in t[-3:] + s[-1] * t.startswith(s)
 
 
-def same_entity(a: tuple[str, ...], b: tuple[str, ...], settled: dict[str, bool], least: float = 0.8) -> bool:
-    """Whether two forms (long tokens, at least two each) name the same entity.
+def spellings(a: tuple[str, ...], b: tuple[str, ...], least: float = 0.8) -> list[tuple[str, str] | None]:
+    """The ways in which two forms (long tokens, at least two each) can name the same entity; empty if they can't.
 
     Tokens are paired whatever their order, and at least one pair must be equal or a nickname. One
-    pair may differ in spelling (LCS ratio of at least ``least``, or a single edit, and one side
-    isn't a settled word of its own); others may be short forms of each other.
+    pair may differ in spelling (LCS ratio of at least ``least``, or a single edit); others may be short forms of each other.
+    A way is the pair that differs in spelling, or None where none does.
     """
     rest_a, rest_b = list(a), list(b)
     same = 0
@@ -135,17 +135,17 @@ def same_entity(a: tuple[str, ...], b: tuple[str, ...], settled: dict[str, bool]
             rest_a.remove(t)
             rest_b.remove(t)
             same += 1
-    if not rest_a and not rest_b:
-        return True
     if len(rest_a) != len(rest_b) or not (same or any(nickname(t, u) for t in rest_a for u in rest_b)):
-        return False
-    typos = 0
+        return []
+    ways: list[tuple[list[str], tuple[str, str] | None]] = [(rest_b, None)]
     for t in sorted(rest_a):
-        hit = next((u for u in rest_b if short_of(t, u)), None)
-        if hit is None:
-            hit = next((u for u in rest_b if (ratio(t, u) >= least or one_edit(t, u)) and not (settled.get(t) and settled.get(u))), None)
-            typos += 1
-        if hit is None or typos > 1:
-            return False
-        rest_b.remove(hit)
-    return True
+        onward = []
+        for left, typo in ways:
+            hit = next((u for u in left if short_of(t, u)), None)
+            hits = [hit] if hit is not None else [] if typo else dict.fromkeys(u for u in left if ratio(t, u) >= least or one_edit(t, u))
+            for u in hits:
+                rest = list(left)
+                rest.remove(u)
+                onward.append((rest, typo if hit is not None else (t, u)))
+        ways = onward
+    return list(dict.fromkeys(typo for _, typo in ways))

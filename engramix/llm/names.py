@@ -20,12 +20,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from engramix.llm.name_forms import expansions, parse, same_entity
+from engramix.llm.name_forms import expansions, parse, spellings
 from engramix.operators.components import components
 from engramix.session import cut
 
-#: Shortest suffix that is indexed, most forms of a block, and forms that make a token a word of its own.
-MIN_SUFFIX, BLOCK, SETTLED = 4, 40, 4
+#: Shortest suffix that is indexed, most forms of a block, and least share of a token's forms that stand beside the same form in the other spelling.
+MIN_SUFFIX, BLOCK, BESIDE = 4, 40, 0.5
 
 
 def forms_of(names: DataFrame) -> DataFrame:
@@ -110,28 +110,38 @@ def _blocks(forms: DataFrame) -> DataFrame:
 
 
 def link_forms(forms: DataFrame, least: float) -> DataFrame:
-    """(src, dst): forms that name the same entity, from comparisons within blocks."""
-    tokens = forms.select("form", F.explode(F.array_distinct("words")).alias("token"))
-    settled = tokens.groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") >= SETTLED).select(F.col("token"))
-    marked = tokens.join(settled, "token").groupBy("form").agg(F.collect_set("token").alias("settled"))
-    known = forms.select("form", "words").join(marked, "form", "left")
+    """(src, dst): forms that name the same entity, from comparisons within blocks.
+
+    Two spellings of a token are one word if at least BESIDE of the forms of one of them stand beside the same
+    form in the other spelling; a word of its own ('thomas' and 'tomas') has mostly other partners. A share doesn't change as the table grows.
+    """
     blocks = _blocks(forms).select(F.xxhash64(F.array_sort("members")).alias("block"), "members").dropDuplicates(["block"])
-    full = blocks.select("block", F.explode("members").alias("form")).join(known, "form").groupBy("block").agg(F.collect_list(F.struct("form", "words", "settled")).alias("m"))
+    full = blocks.select("block", F.explode("members").alias("form")).join(forms.select("form", "words"), "form").groupBy("block").agg(F.collect_list(F.struct("form", "words")).alias("m"))
 
     def compare(batches):
         for batch in batches:
             seen, out = set(), []
             for members in batch["m"]:
-                items = sorted((m["form"], tuple(m["words"]), m["settled"] if m["settled"] is not None else ()) for m in members)
-                for (f, a, sa), (g, b, sb) in itertools.combinations(items, 2):
-                    if (f, g) in seen or abs(len(a) - len(b)) > 0:
+                items = sorted((m["form"], tuple(m["words"])) for m in members)
+                for (f, a), (g, b) in itertools.combinations(items, 2):
+                    if len(a) != len(b) or (f, g) in seen:
                         continue
                     seen.add((f, g))
-                    if same_entity(a, b, {t: True for t in (*sa, *sb)}, least):
-                        out.append((f, g))
-            yield pd.DataFrame(out, columns=["src", "dst"])
+                    out += [(f, g, *(way or (None, None))) for way in spellings(a, b, least)]
+            yield pd.DataFrame(out, columns=["src", "dst", "t", "u"])
+
+    return _confirmed(forms, cut(full.select("m").mapInPandas(compare, "src string, dst string, t string, u string").distinct()))
+
 
-    return full.select("m").mapInPandas(compare, "src string, dst string").distinct()
+def _confirmed(forms: DataFrame, found: DataFrame) -> DataFrame:
+    """(src, dst) of the pairs that differ in no spelling, or in two spellings of one word."""
+    counts = forms.select("form", F.explode(F.array_distinct("words")).alias("t")).groupBy("t").agg(F.count("*").alias("n"))
+    typed = found.where("t is not null")
+    turned = typed.select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.col("u").alias("t"), F.col("t").alias("u"))
+    beside = typed.unionByName(turned).groupBy("t", "u").agg(F.count_distinct("src").alias("k")).join(counts, "t")
+    one = beside.where(F.col("k") >= BESIDE * F.col("n")).select(F.least("t", "u").alias("x"), F.greatest("t", "u").alias("y")).distinct()
+    kept = typed.select("src", "dst", F.least("t", "u").alias("x"), F.greatest("t", "u").alias("y")).join(one, ["x", "y"]).select("src", "dst")
+    return found.where("t is null").select("src", "dst").unionByName(kept).distinct()
 
 
 def entities(names: DataFrame, least: float = 0.8) -> DataFrame:

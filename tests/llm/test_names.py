@@ -51,6 +51,15 @@ def test_large_blocks_lose_nothing(spark):
     assert all(by[f"Anna {s.title()}"] == by[f"{s.title()}, Anna"] == by[f"Anna {s.title()[:-1]}"] for s in set(surnames))
 
 
+def test_misspellings_are_told_by_share_not_by_count(spark):
+    firms = [f"{x} Harbour Services" for x in ("Zurovane", "Plenkitar", "Mogalist", "Dwebbany", "Kixotral", "Fuhandro", "Oslimeck", "Jartevun")]
+    wrong = [f.replace("Harbour", "Harbbour") for f in firms[:5]]
+    family = ["Volarford", "Tririvdal", "Dadulic", "Muckenz", "Sepoglia", "Quandrow", "Ysbeteln", "Haxumni", "Bojwirk"]
+    people = [f"Thomas {s}" for s in family[:5]] + [f"Tomas {s}" for s in family[4:]]
+    found = {tuple(r) for r in names.variant_pairs(spark.createDataFrame([(n,) for n in firms + wrong + people], "name string")).collect()}
+    assert found == {tuple(sorted((f, w))) for f, w in zip(firms, wrong)}
+
+
 def test_empty(spark):
     assert names.variant_pairs(spark.createDataFrame([], "name string")).count() == 0
 
