@@ -108,9 +108,25 @@ def nickname(a: str, b: str) -> bool:
     return b in _LONG.get(a, ()) or a in _LONG.get(b, ()) or bool(_LONG.get(a, _NONE) & _LONG.get(b, _NONE))
 
 
-def expansions(words: list[str]) -> list[list[str]]:
-    """``words``, and ``words`` with each known short form replaced by the names it can stand for."""
-    return [words] + [words[:i] + [long] + words[i + 1 :] for i, w in enumerate(words) for long in sorted(_LONG.get(w, ()))]
+def _stems() -> dict[str, str]:
+    """Each name of NICKNAMES, long or short, with the smallest of all that nicknames connect it to."""
+    of: dict[str, str] = {}
+    for start in sorted({*NICKNAMES, *_LONG}):
+        todo = [] if start in of else [start]
+        while todo:
+            name = todo.pop()
+            if name not in of:
+                of[name] = start
+                todo += [*_LONG.get(name, ()), *NICKNAMES.get(name, "").split()]
+    return of
+
+
+_STEM = _stems()
+
+
+def stem(token: str) -> str:
+    """The token, or for known names and nicknames one name for all that may be the same."""
+    return _STEM.get(token, token)
 
 
 def short_of(a: str, b: str) -> bool:

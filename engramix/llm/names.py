@@ -2,30 +2,34 @@
 
 1. Each distinct string is reduced to a form: folded tokens without order, titles, notes, legal
    forms and single letters. Strings of one form are one class, whatever its size.
-2. Forms are blocked by suffixes of their tokens. A suffix shared by more forms than a block may
-   hold is not discarded but refined with the beginning or the end of another token, then with
-   longer ones; whole tokens stay blocking keys at every level, down to pairs of whole tokens.
-3. Forms within a block are compared token by token by longest-common-subsequence ratio.
+2. Forms are blocked by what two forms of one entity must share: a whole token (or nickname of the same
+   name) and, in names of three or four words, the first letters of all others but one. A block
+   of any size is compared whole: cut into slices, and each slice with each other as a group of its own.
+3. Forms within a block are compared token by token by longest-common-subsequence ratio; in large
+   ones the letters of the token left over are compared first.
 4. Names of initials ('Gray, K.G.', 'Wadan FH') are attached to the one form they can stand for.
 5. Links are closed to entities.
 """
 
 from __future__ import annotations
 
+import functools
 import itertools
+import operator
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from engramix.llm.name_forms import expansions, parse, spellings
+from engramix.llm.name_forms import parse, spellings, stem
 from engramix.operators.components import components
 from engramix.session import cut
 
-#: Shortest suffix that is indexed, most forms of a block, and least share of a token's forms that stand beside the same form in the other spelling.
-MIN_SUFFIX, BLOCK, BESIDE = 4, 40, 0.5
+#: Forms of a slice of a block, and least share of a token's forms that stand beside the same form in the other spelling.
+SLICE, BESIDE = 1000, 0.5
 
 
 def forms_of(names: DataFrame) -> DataFrame:
@@ -51,62 +55,61 @@ def forms_of(names: DataFrame) -> DataFrame:
     return names.mapInPandas(read, "name string, form string, initials string, words array<string>, in_order string")
 
 
-def _refined(words: list[str], level: int) -> Iterator[str]:
-    """Blocking keys of a form at a level of refinement; at the last one pairs of whole tokens."""
-    for i, token in enumerate(words):
-        others = words[:i] + words[i + 1 :]
-        if level == 3:
-            yield from (f"{token}|{other}" for other in others if token < other)
+def _block_keys(words: list[str]) -> Iterator[tuple[str, str]]:
+    """(key, token left over): any two forms that ``spellings`` links share a key in which the pair that differs in spelling is left over.
+
+    Equal tokens and nicknames have one ``stem``; other short forms begin alike. Names of more than
+    four words have only a whole token as key, and no token left over.
+    """
+    for j, whole in enumerate(words):
+        if len(words) > 4:
+            yield f"{len(words)}|{stem(whole)}", ""
             continue
-        for start in range(max(1, len(token) - MIN_SUFFIX + 1)):
-            suffix = token[start:]
-            if level == 0:
-                yield suffix
-            for other in others if level else ():
-                yield f"{suffix}|<{other[: 2 * level - 1]}"
-                yield f"{suffix}|>{other[-2 - level :]}"
+        for i, left in enumerate(words):
+            if i != j:
+                letters = [{w[0], stem(w)[0]} for k, w in enumerate(words) if k not in (i, j)]
+                for some in {"".join(sorted(x)) for x in itertools.product(*letters)}:
+                    yield f"{len(words)}|{stem(whole)}|{some}", left
 
 
-def _keys(forms: DataFrame, level: int) -> DataFrame:
+def _keys(forms: DataFrame) -> DataFrame:
     def emit(batches):
         for batch in batches:
             out = []
             for form, words in zip(batch["form"], batch["words"]):
-                found = {key for some in expansions(list(words)) for key in _refined(some, level)}
-                out += [(form, key) for key in sorted(found)]
-            yield pd.DataFrame(out, columns=["form", "key"])
-
-    return forms.select("form", "words").mapInPandas(emit, "form string, key string")
-
-
-def _blocks(forms: DataFrame) -> DataFrame:
-    """(key, members): blocks of 2 to BLOCK forms; keys above that are refined level by level.
-
-    At the last level (two whole tokens) a block of any size is split into a chain of slices that
-    share their first form, so that nothing is dropped.
-    """
-    out = None
-    pending = forms
-    for level in range(4):
-        keyed = cut(_keys(pending, level))
-        sizes = keyed.groupBy("key").agg(F.count("*").alias("size"))
-        last = level == 3
-        if last:
-            slot = F.floor((F.row_number().over(W.partitionBy("key").orderBy("form")) - 2) / (BLOCK - 1))
-            head = keyed.groupBy("key").agg(F.min("form").alias("head"))
-            slices = keyed.withColumn("slot", slot).join(head, "key").groupBy("key", "slot").agg(F.collect_set("form").alias("m"), F.first("head").alias("head"))
-            found = slices.select(F.array_union("m", F.array("head")).alias("members"))
-        else:
-            fit = sizes.where(F.col("size").between(2, BLOCK))
-            found = keyed.join(fit, "key").groupBy("key").agg(F.collect_set("form").alias("members")).select("members")
-        out = found if out is None else out.unionByName(found)
-        if last:
-            break
-        big = sizes.where(F.col("size") > BLOCK).select("key")
-        pending = cut(pending.join(keyed.join(big, "key", "left_semi").select("form").distinct(), "form", "left_semi"))
-        if pending.isEmpty():
-            break
-    return out.where(F.size("members") > 1)
+                out += [(form, key, left) for key, left in sorted(set(_block_keys(list(words))))]
+            yield pd.DataFrame(out, columns=["form", "key", "left"])
+
+    return forms.select("form", "words").mapInPandas(emit, "form string, key string, left string")
+
+
+def _groups(forms: DataFrame) -> DataFrame:
+    """(i, j, m): for each pair of slices of a block, the forms of both with their slice."""
+    keyed = cut(_keys(forms))
+    sizes = keyed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1").select("key", F.ceil(F.col("size") / SLICE).alias("slices"))
+    placed = keyed.join(sizes, "key").withColumn("at", F.pmod(F.xxhash64("form"), "slices"))
+    spread = placed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1)))
+    spread = spread.withColumn("i", F.least("at", "other")).withColumn("j", F.greatest("at", "other"))
+    return spread.groupBy("key", "i", "j").agg(F.collect_list(F.struct("form", "left", "at")).alias("m")).where(F.size("m") > 1).select("i", "j", "m")
+
+
+def _near(items: list[tuple[str, str, int]], across: bool, least: float) -> Iterator[tuple[str, str]]:
+    """Pairs of forms whose tokens left over may be spellings or short forms of each other, by their letters only."""
+    if len(items) <= 12 or not items[0][1]:
+        yield from ((x[0], y[0]) for x, y in itertools.combinations(items, 2) if x[2] != y[2] or not across)
+        return
+    masks = np.array([functools.reduce(operator.or_, (1 << ord(c) % 64 for c in x[1])) for x in items], dtype=np.uint64)
+    sizes = np.array([len(x[1]) for x in items])
+    stems = np.array([hash(stem(x[1])) for x in items])
+    sides = np.array([x[2] for x in items])
+    for r in range(len(items) - 1):
+        mine, rest = masks[r], masks[r + 1 :]
+        most = np.maximum(2, (1 - least) * (sizes[r] + sizes[r + 1 :]) + 1e-9)
+        both = mine & rest
+        may = (np.bitwise_count(mine ^ rest) <= most) | (both == mine) | (both == rest) | (stems[r] == stems[r + 1 :])
+        if across:
+            may &= sides[r] != sides[r + 1 :]
+        yield from ((items[r][0], items[r + 1 + k][0]) for k in np.flatnonzero(may))
 
 
 def link_forms(forms: DataFrame, least: float) -> DataFrame:
@@ -115,22 +118,19 @@ def link_forms(forms: DataFrame, least: float) -> DataFrame:
     Two spellings of a token are one word if at least BESIDE of the forms of one of them stand beside the same
     form in the other spelling; a word of its own ('thomas' and 'tomas') has mostly other partners. A share doesn't change as the table grows.
     """
-    blocks = _blocks(forms).select(F.xxhash64(F.array_sort("members")).alias("block"), "members").dropDuplicates(["block"])
-    full = blocks.select("block", F.explode("members").alias("form")).join(forms.select("form", "words"), "form").groupBy("block").agg(F.collect_list(F.struct("form", "words")).alias("m"))
-
     def compare(batches):
         for batch in batches:
             seen, out = set(), []
-            for members in batch["m"]:
-                items = sorted((m["form"], tuple(m["words"])) for m in members)
-                for (f, a), (g, b) in itertools.combinations(items, 2):
-                    if len(a) != len(b) or (f, g) in seen:
+            for i, j, members in zip(batch["i"], batch["j"], batch["m"]):
+                items = sorted((m["form"], m["left"], m["at"]) for m in members)
+                for f, g in _near(items, i != j, least):
+                    if f == g or (f, g) in seen:
                         continue
                     seen.add((f, g))
-                    out += [(f, g, *(way or (None, None))) for way in spellings(a, b, least)]
+                    out += [(f, g, *(way or (None, None))) for way in spellings(tuple(f.split(" ")), tuple(g.split(" ")), least)]
             yield pd.DataFrame(out, columns=["src", "dst", "t", "u"])
 
-    return _confirmed(forms, cut(full.select("m").mapInPandas(compare, "src string, dst string, t string, u string").distinct()))
+    return _confirmed(forms, cut(_groups(forms).mapInPandas(compare, "src string, dst string, t string, u string").distinct()))
 
 
 def _confirmed(forms: DataFrame, found: DataFrame) -> DataFrame:

@@ -60,6 +60,20 @@ def test_misspellings_are_told_by_share_not_by_count(spark):
     assert found == {tuple(sorted((f, w))) for f, w in zip(firms, wrong)}
 
 
+def test_blocks_of_any_size_are_compared_whole(spark, monkeypatch):
+    monkeypatch.setattr(names, "SLICE", 50, raising=False)
+    rnd = random.Random(7)
+    word = lambda n: "".join(rnd.choice("bdfgklmnprstvz") + rnd.choice("aeiou") for _ in range(n))
+    made = {("anna", "ber" + word(3)) for _ in range(110)} | {("freight", "holdings", word(4)) for _ in range(110)} | {("anna", "bergsted"), ("anna", "bergstad"), ("benny", "tririvdl"), ("benjamin", "tririvdal"), ("freight", "holdings", "zurovanelit"), ("freight", "hldgs", "zurvanelit")}
+    made |= {(*f[:-1], f[-1][:2] + f[-1][3:]) for f in sorted(made)[::9]}
+    forms = sorted({tuple(sorted(f)) for f in made})
+    want = {(" ".join(f), " ".join(g)) for f, g in itertools.combinations(forms, 2) if N.spellings(f, g)}
+    monkeypatch.setattr(names, "_confirmed", lambda _, found: found.select("src", "dst").distinct())
+    frame = spark.createDataFrame([(" ".join(f), list(f)) for f in forms], "form string, words array<string>")
+    assert {tuple(sorted(r)) for r in names.link_forms(frame, 0.8).collect()} == {tuple(sorted(p)) for p in want}
+    assert ("anna bergstad", "anna bergsted") in want and any("hldgs" in f for f, _ in want)
+
+
 def test_empty(spark):
     assert names.variant_pairs(spark.createDataFrame([], "name string")).count() == 0
 
