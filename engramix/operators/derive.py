@@ -46,41 +46,50 @@ def facts(objects: DataFrame, contradiction: float = 0.40) -> DataFrame:
     )
 
 
-def cluster_objects(rows: DataFrame, per: list[str], key: str, vector: str, threshold: float = 0.88, most: int = 2000) -> DataFrame:
+def cluster_objects(rows: DataFrame, per: list[str], key: str, vector: str, threshold: float = 0.88) -> DataFrame:
     """(per, key, cluster): greedy clusters of the distinct keys of a group by cosine to running-mean centroids.
 
-    Keys are taken in order; one without vector stands alone. Of a group, ``most`` keys are clustered together, and further ones in slices
-    of that size, so that no task holds an unbounded group.
+    Keys are taken in order; one without vector stands alone. Groups of any size are read in order, batch
+    by batch, so a task holds the centroids of a group but not its rows.
     """
     distinct = rows.where(F.col(key).isNotNull()).groupBy(*per, key).agg(F.first(vector, ignorenulls=True).alias("vector"))
-    sliced = distinct.withColumn("slice", F.floor((F.row_number().over(W.partitionBy(*per).orderBy(key)) - 1) / most))
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(key)
-        centres: list[np.ndarray | None] = []
-        sums: list[np.ndarray] = []
-        out = []
-        for v in group["vector"]:
-            x = None if v is None or not len(v) else np.asarray(v, dtype=np.float64)
-            norm = 0.0 if x is None else np.linalg.norm(x)
-            at = None
-            if norm:
-                sims = [-2.0 if c is None or len(c) != len(x) else float(c @ x) / (np.linalg.norm(c) * norm or 1.0) for c in centres]
-                if sims and max(sims) >= threshold:
-                    at = int(np.argmax(sims))
-            if at is None:
-                at = len(centres)
-                centres.append(x if norm else None)
-                sums.append(np.array([*(x if norm else []), 1.0]))
-            else:
-                n = sums[at][-1]
-                centres[at] = (centres[at] * n + x) / (n + 1)
-                sums[at][-1] = n + 1
-            out.append(at)
-        return group[[*per, key]].assign(cluster=[int(group["slice"].iloc[0]) * most + a for a in out])
+    ordered = distinct.repartition(*per).sortWithinPartitions(*per, key)
+
+    def run(batches):
+        group, made, centres = None, 0, {}
+        for batch in batches:
+            out = []
+            for *of, v in zip(*(batch[c] for c in per), batch["vector"]):
+                of = tuple(None if pd.isna(c) else c for c in of)
+                if of != group:
+                    group, made, centres = of, 0, {}  # centres by dimension: matrix, norms, members and clusters
+                x = None if v is None or not len(v) else np.asarray(v, dtype=np.float64)
+                norm = 0.0 if x is None else np.linalg.norm(x)
+                if not norm:
+                    out.append(made)
+                    made += 1
+                    continue
+                c, norms, n, ids = centres.setdefault(len(x), (np.zeros((8, len(x))), np.zeros(8), np.zeros(8), []))
+                k = len(ids)
+                sims = c[:k] @ x / np.where(norms[:k] > 0, norms[:k] * norm, 1.0)
+                at = int(np.argmax(sims)) if k else -1
+                if k and sims[at] >= threshold:
+                    c[at] = (c[at] * n[at] + x) / (n[at] + 1)
+                else:
+                    at = k
+                    if k == len(c):
+                        c, norms, n = np.concatenate([c, np.zeros_like(c)]), np.concatenate([norms, np.zeros_like(norms)]), np.concatenate([n, np.zeros_like(n)])
+                        centres[len(x)] = c, norms, n, ids
+                    c[at] = x
+                    ids.append(made)
+                    made += 1
+                n[at] += 1
+                norms[at] = np.linalg.norm(c[at])
+                out.append(ids[at])
+            yield batch[[*per, key]].assign(cluster=out)
 
     kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in [*per, key])
-    return sliced.groupBy(*per, "slice").applyInPandas(run, f"{kinds}, cluster long")
+    return ordered.mapInPandas(run, f"{kinds}, cluster long")
 
 
 def followed_pairs(episodes: DataFrame, agent: str, action: str, ok: Column, at: str, tie: str, max_gap_ms: int = 3_600_000, least: int = 3) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -54,34 +56,58 @@ def mmr(items: DataFrame, per: str, item: str, content: str, score: str = "score
     """(per, item, position): greedy maximal marginal relevance by Jaccard overlap of word sets.
 
     An item whose overlap with a chosen one exceeds ``duplicate`` is dropped; equal gains keep the order of
-    scores. Of each query the ``pool`` best candidates take part, so that a group is bounded.
+    scores. Candidates are read in that order, ``pool`` at a time, and further ones whenever one of them could still
+    win or too few are left; no more of a group is held than that takes.
     """
-    rank = F.row_number().over(W.partitionBy(per).orderBy(F.round(score, 9).desc(), item))
-    pooled = items.withColumn("__rank", rank).where(F.col("__rank") <= pool).select(F.col(per).alias("per"), F.col(item).alias("item"), F.col(score).cast("double").alias("score"), word_set(F.coalesce(F.col(content), F.lit(""))).alias("words"), "__rank")
+    ordered = items.select(F.col(per).alias("per"), F.col(item).alias("item"), F.col(score).cast("double").alias("score"), word_set(F.coalesce(F.col(content), F.lit(""))).alias("words"))
+    ordered = ordered.repartition("per").sortWithinPartitions("per", F.round("score", 9).desc(), "item")
+
+    def rows(batches):
+        for batch in batches:
+            for p, i, s, w in zip(batch["per"], batch["item"], batch["score"], batch["words"]):
+                yield None if pd.isna(p) else p, i, s, frozenset(w)
 
-    def pick(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("__rank")
-        rest = [(i, s, frozenset(w)) for i, s, w in zip(group["item"], group["score"], group["words"])]
-        near = [0.0] * len(rest)
+    def overlap(a: frozenset, b: frozenset) -> float:
+        union = len(a | b)
+        return len(a & b) / union if union else 0.0
+
+    def pick(group):
+        """Items in order of choice; ``alive`` are [item, score, words, rank, greatest overlap], and ``last`` the least score read."""
         chosen: list = []
-        alive = list(range(len(rest)))
-        while alive and len(chosen) < limit:
-            best = max(alive, key=lambda j: (trade * rest[j][1] - (1 - trade) * near[j], -j))
-            chosen.append(rest[best][0])
-            words = rest[best][2]
+        taken: list[frozenset] = []
+        alive: list[list] = []
+        read, last, more = 0, float("inf"), True
+        while len(chosen) < limit:
+            best = max(alive, key=lambda x: (trade * x[1] - (1 - trade) * x[4], -x[3]), default=None)
+            while more and (best is None or not trade * best[1] - (1 - trade) * best[4] > trade * (last + 1e-9)):
+                part = list(itertools.islice(group, pool))
+                more = len(part) == pool
+                for _, i, s, w in part:
+                    near = max((overlap(w, c) for c in taken), default=0.0)
+                    if near <= duplicate:
+                        alive.append([i, s, w, read, near])
+                    read, last = read + 1, s
+                best = max(alive, key=lambda x: (trade * x[1] - (1 - trade) * x[4], -x[3]), default=None)
+            if best is None:
+                break
+            chosen.append(best[0])
+            taken.append(best[2])
             keep = []
-            for j in alive:
-                if j == best:
-                    continue
-                union = len(words | rest[j][2])
-                near[j] = max(near[j], len(words & rest[j][2]) / union if union else 0.0)
-                if near[j] <= duplicate:
-                    keep.append(j)
+            for x in alive:
+                if x is not best:
+                    x[4] = max(x[4], overlap(best[2], x[2]))
+                    if x[4] <= duplicate:
+                        keep.append(x)
             alive = keep
-        return pd.DataFrame({"per": [group["per"].iloc[0]] * len(chosen), "item": chosen, "position": range(1, len(chosen) + 1)})
+        return chosen
+
+    def run(batches):
+        for p, group in itertools.groupby(rows(batches), key=lambda x: x[0]):
+            chosen = pick(group)
+            yield pd.DataFrame({"per": [p] * len(chosen), "item": chosen, "position": range(1, len(chosen) + 1)})
 
     kinds = {n: items.schema[c].dataType.simpleString() for n, c in (("per", per), ("item", item))}
-    return pooled.groupBy("per").applyInPandas(pick, f"per {kinds['per']}, item {kinds['item']}, position int").toDF(per, item, "position")
+    return ordered.mapInPandas(run, f"per {kinds['per']}, item {kinds['item']}, position int").toDF(per, item, "position")
 
 
 def pack(items: DataFrame, per: str, item: str, tokens: str, score: str = "score", limit: int = 20, budget: int = 2000) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from engramix import schema
 from engramix.api import Engine
 from engramix.functions import text as T
-from engramix.operators import chunking, components, evaluate, extract, fusion, graph, mutate, predicates, retrieval, temporal
+from engramix.operators import chunking, components, derive, evaluate, extract, fusion, graph, mutate, predicates, retrieval, temporal
 from engramix.streaming import ingest
 
 
@@ -103,6 +103,23 @@ def test_labels_are_alike_below_and_above_the_limit(spark):
     assert small == big and big[30] == big[31]
 
 
+def test_clusters_of_a_hot_group_are_whole(spark):
+    rows = [("s", f"k{i:04}", [1.0, 0.001 * (i % 5)] if i % 2 else [0.0, 1.0, 0.001 * (i % 3)]) for i in range(2100)] + [("s", "none", None), ("t", "k", [1.0, 0.0])]
+    got = derive.cluster_objects(spark.createDataFrame(rows, "s string, k string, v array<double>"), ["s"], "k", "v")
+    assert sorted((r["s"], r["cluster"], r["n"]) for r in got.groupBy("s", "cluster").agg(F.count("*").alias("n")).collect()) == [("s", 0, 1050), ("s", 1, 1050), ("s", 2, 1), ("t", 0, 1)]
+
+
+def test_mmr_goes_beyond_its_pool(spark):
+    rows = [(1, i, "red green blue", 1 - i / 10_000) for i in range(600)] + [(1, 1000 + i, f"word{i} other{i}", 0.5 - i / 100) for i in range(20)] + [(2, 1, "a b", 0.5)]
+    frame = spark.createDataFrame(rows, "q int, n int, c string, score double")
+    got = {tuple(r) for r in fusion.mmr(frame, "q", "n", "c", limit=5).select("q", "n", "position").collect()}
+    assert got == {(1, 0, 1), (1, 1000, 2), (1, 1001, 3), (1, 1002, 4), (1, 1003, 5), (2, 1, 1)}
+    rnd = random.Random(2)
+    mixed = spark.createDataFrame([(1, i, " ".join(rnd.sample("abcdefgh", 3)), rnd.random()) for i in range(60)], "q int, n int, c string, score double")
+    small, whole = (fusion.mmr(mixed, "q", "n", "c", limit=9, pool=n).orderBy("position").collect() for n in (2, 500))
+    assert small == whole
+
+
 def test_mutations(spark):
     m = spark.createDataFrame([(1, "s", "a", None, 1), (2, "s", "b", [], 2), (3, "s", "a", ["z"], 3)], "d int, s string, p string, t array<string>, at int")
     assert sorted(map(tuple, mutate.recipients(m, "s", "p", "t", "at", "d").collect())) == [(2, "a"), (3, "z")]
