@@ -14,7 +14,7 @@ from dataclasses import dataclass
 import numpy as np
 
 #: Links of a node on the upper layers and on the lowest one, candidates while building, and the share that rises a layer.
-LINKS, LINKS0, BUILD, RISE = 16, 32, 96, 16
+LINKS, LINKS0, BUILD, RISE = 16, 32, 64, 16
 
 
 @dataclass
@@ -25,11 +25,16 @@ class Graph:
     layers: list[tuple[np.ndarray, np.ndarray]]
 
     def dumps(self) -> bytes:
-        return pickle.dumps((self.vectors.astype(np.float32), self.layers), protocol=5)
+        """Vectors in two bytes a number, node numbers in as few bytes as they need."""
+        small = np.int16 if len(self.vectors) < 1 << 15 else np.int32
+        return pickle.dumps((self.vectors.astype(np.float16), [(ids.astype(small), links.astype(small)) for ids, links in self.layers]), protocol=5)
 
     @classmethod
     def loads(cls, data: bytes) -> "Graph":
-        return cls(*pickle.loads(data))
+        """The graph again; its vectors have length one, as before they were rounded."""
+        vectors, layers = pickle.loads(data)
+        vectors = vectors.astype(np.float32)
+        return cls(vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12), [(ids.astype(np.int32), links.astype(np.int32)) for ids, links in layers])
 
 
 def _choose(own: np.ndarray, sims: np.ndarray, vectors: np.ndarray, ids: np.ndarray, most: int) -> np.ndarray:
@@ -84,7 +89,7 @@ def _layer(vectors: np.ndarray, most: int, block: int = 512) -> np.ndarray:
     f, t, s = both_from[order], both_to[order], sim[order]
     start = np.searchsorted(f, np.arange(n + 1))
     place = np.arange(len(f)) - start[f]
-    width = min(int(place.max()) + 1, 3 * most)
+    width = min(int(place.max()) + 1, 2 * most)
     ok = place < width
     ids = np.full((n, width), -1, dtype=np.int64)
     sims = np.full((n, width), -np.inf, dtype=np.float32)

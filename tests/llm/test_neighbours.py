@@ -1,6 +1,7 @@
 import numpy as np
+import pyarrow.parquet as pq
 
-from engramix.llm import hnsw
+from engramix.llm import hnsw, plan_neighbours
 from engramix.llm import neighbours as K
 
 SCHEMA = "uid long, vec array<float>, id long, topics string"
@@ -58,3 +59,53 @@ def test_empty_and_single(spark):
     one = K.nearest(spark.createDataFrame([(1, [1.0, 2.0], 0, "x")], SCHEMA), "uid", "vec").collect()
     assert [(r["id"], list(r["neighbours"])) for r in one] == [(1, [])]
     assert K.nearest(spark.createDataFrame([(1, None, 0, "x"), (2, [0.0, 0.0], 0, "x")], SCHEMA), "uid", "vec").count() == 0
+
+
+def brute(path):
+    table = pq.read_table(path, columns=["upsert_id", "embedding"])
+    mask, unit = K.units(table.column("embedding"), 64)
+    return table.column("upsert_id").to_numpy()[mask], unit
+
+
+def test_recall_of_all_neighbours_and_of_close_pairs(spark):
+    folder = "/root/testdata/sf0.1"
+    ids, unit = brute(f"{folder}/fact_upserts.parquet")
+    pairs = {tuple(r) for r in plan_neighbours.p6_found(spark, folder).collect()}
+    got = {}
+    for r in plan_neighbours.p6_neighbours(spark, folder).collect():
+        got.setdefault(r["upsert_id"], set()).add(r["neighbour_id"])
+    asked = np.flatnonzero(ids % 20 == 0)
+    assert set(got) == set(ids[asked].tolist())
+    hits, close, right = 0, set(), set()
+    for i in range(len(ids)):
+        s = unit @ unit[i]
+        s[i] = -2
+        top = np.argsort(-s, kind="stable")[:5]
+        if ids[i] % 20 == 0:
+            fifth = s[top[-1]]
+            at = {x: j for j, x in enumerate(ids.tolist())} if not hits else at
+            hits += sum(s[at[j]] >= fifth - 1e-4 for j in got[ids[i]])
+        close |= {(min(a, b), max(a, b)) for a, b in ((int(ids[i]), int(ids[j])) for j in top if s[j] >= 0.85)}
+    right = pairs & close
+    assert hits >= 0.9 * 5 * len(asked)
+    assert len(right) >= 0.99 * len(close) and len(right) >= 0.99 * len(pairs)
+
+
+def test_topics_grow_with_the_vectors(spark):
+    x = clumps(6000)
+    given = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<float>")
+    monkey = {"FAN": 8, "SAMPLE": 1500}
+    old = {name: getattr(K, name) for name in monkey}
+    try:
+        for name, value in monkey.items():
+            setattr(K, name, value)
+        leaves = K._leaves(given, len(x), 16, 150)
+        assert 30 <= len(leaves) <= 90
+        u = x / np.linalg.norm(x, axis=1, keepdims=True)
+        assert np.bincount((u @ leaves.T).argmax(1)).max() < 1200
+        want, s = exact(x, 5)
+        got = {r["id"]: [n["id"] for n in r["neighbours"]] for r in K.nearest(given, "id", "v", shard=150).collect()}
+    finally:
+        for name, value in old.items():
+            setattr(K, name, value)
+    assert np.mean([len(set(got[i]) & set(want[i].tolist())) / 5 for i in range(len(x))]) > 0.9
