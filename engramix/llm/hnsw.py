@@ -3,7 +3,7 @@
 All steps work on whole batches of nodes or queries with numpy. While a shard is built, the
 candidates of each node are found by blocked matrix products over the shard's earlier nodes,
 which for shards of some thousand vectors costs less than a search of the unfinished graph; links are
-chosen by the diversity rule. Queries only walk the graph.
+chosen by the diversity rule. Queries enter at the nearest nodes of a small upper layer and walk the graph from there.
 """
 
 from __future__ import annotations
@@ -15,6 +15,8 @@ import numpy as np
 
 #: Links of a node on the upper layers and on the lowest one, candidates while building, and the share that rises a layer.
 LINKS, LINKS0, BUILD, RISE = 16, 32, 64, 16
+#: Nodes up to which an upper layer is compared whole instead of walked, and entries into the layer below.
+SMALL, ENTRIES = 1024, 3
 
 
 @dataclass
@@ -166,6 +168,15 @@ def _walk(vectors: np.ndarray, ids: np.ndarray, links: np.ndarray, queries: np.n
     return np.where(np.isfinite(sims), best, -1), sims
 
 
+def _top(graph: Graph, queries: np.ndarray) -> tuple[np.ndarray, int]:
+    """(entries, number of its layer): the nearest nodes of the lowest layer with at most SMALL nodes, which is compared whole."""
+    layer = next((l for l, (ids, _) in enumerate(graph.layers) if l and len(ids) <= SMALL), len(graph.layers) - 1)
+    ids = graph.layers[layer][0]
+    sims = queries @ graph.vectors[ids].T
+    m = min(ENTRIES, len(ids))
+    return ids[np.argpartition(-sims, m - 1, axis=1)[:, :m]].astype(np.int64), layer
+
+
 def search(graph: Graph, queries: np.ndarray, k: int, breadth: int, own: np.ndarray | None = None, batch: int = 1024) -> tuple[np.ndarray, np.ndarray]:
     """(ids, sims) of the ``k`` nearest nodes of each query, -1 where there are fewer.
 
@@ -180,12 +191,12 @@ def search(graph: Graph, queries: np.ndarray, k: int, breadth: int, own: np.ndar
     breadth = max(breadth, k)
     for a in range(0, len(queries), batch):
         q = queries[a : a + batch]
-        entry = np.full((len(q), 1), int(graph.layers[-1][0][0]), dtype=np.int64)
+        entry = np.full((len(q), 1), -1, dtype=np.int64)
         mine = own[a : a + batch] if own is not None else np.full(len(q), -1)
         far = np.flatnonzero(mine < 0)
         if len(far):
-            at = entry[far]
-            for ids, links in graph.layers[:0:-1]:
+            at, walked = _top(graph, q[far])
+            for ids, links in graph.layers[walked - 1 : 0 : -1]:
                 at = _walk(graph.vectors, ids, links, q[far], at, 4)[0][:, :2]
             wide = np.full((len(q), at.shape[1]), -1, dtype=np.int64)
             wide[far] = at

@@ -32,7 +32,7 @@ BREADTH_OWN, BREADTH = 16, 64
 #: How many standard deviations of a neighbour's offset (across a border, in any direction) are asked for, and most topics that a vector asks.
 DEVIATIONS, MOST = 1.5, 16
 #: Candidates for pairs above a high cosine, which are easily told from all others.
-CLOSE = {"own": 12, "breadth": 16}
+CLOSE = {"own": 12, "breadth": 16, "deviations": 1.25}
 
 
 def units(column: pa.Array, dimension: int) -> tuple[np.ndarray, np.ndarray]:
