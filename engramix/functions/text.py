@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 # Greetings and fillers that carry no information.
 FILLERS = (
-    "hey|hi|hello|hi there|hey there|howdy|thanks|thank you|thx|ty|wow|oh wow|whoa|congrats|congratulations|omg|lol|haha|hehe|lmao|rofl|ok|okay|k|sure|sure thing|yes|yeah|yep|yup|nope|no|right|exactly|agreed|absolutely|"
-    "no worries|no problem|np|you're welcome|yw|sounds good|sounds great|cool|nice|got it|understood|roger|copy that|bye|goodbye|see you|later|ttyl"
-).split("|")
+    "hey", "hi", "hello", "hi there", "hey there", "howdy", "thanks", "thank you", "thx", "ty", "wow", "oh wow", "whoa", "congrats", "congratulations", "omg", "lol", "haha",
+    "hehe", "lmao", "rofl", "ok", "okay", "k", "sure", "sure thing", "yes", "yeah", "yep", "yup", "nope", "no", "right", "exactly", "agreed", "absolutely", "no worries",
+    "no problem", "np", "you're welcome", "yw", "sounds good", "sounds great", "cool", "nice", "got it", "understood", "roger", "copy that", "bye", "goodbye", "see you", "later",
+    "ttyl",
+)
 # Patterns of the answer a question asks for, the first that fits counts.
 ANSWER_TYPES = (
     (r"^(who|whose|by whom|with whom|to whom)\b", "person"),
@@ -27,9 +29,10 @@ ANSWER_TYPES = (
 )
 # Phrases of an answer that declines.
 ABSTAIN = (
-    "no information|not mentioned|not available|cannot be determined|no evidence|not in the conversation|not discussed|no record|not specified|not stated|not provided|does not mention|doesn't mention|does not specify|doesn't specify|"
-    "does not state|doesn't state|does not provide|doesn't provide|no mention of|no specific mention|context does not|is not present in|is not specified|not appear in|cannot find|no such information"
-).split("|")
+    "no information", "not mentioned", "not available", "cannot be determined", "no evidence", "not in the conversation", "not discussed", "no record", "not specified",
+    "not stated", "not provided", "does not mention", "doesn't mention", "does not specify", "doesn't specify", "does not state", "doesn't state", "does not provide",
+    "doesn't provide", "no mention of", "no specific mention", "context does not", "is not present in", "is not specified", "not appear in", "cannot find", "no such information",
+)
 # Languages of code by extension.
 LANGUAGES = {"py": "python", "rs": "rust", "js": "javascript", "ts": "typescript", "tsx": "typescript", "jsx": "javascript", "go": "go", "java": "java", "c": "c", "h": "c", "cpp": "cpp", "cc": "cpp", "hpp": "cpp", "rb": "ruby", "sh": "bash", "sql": "sql", "md": "markdown", "html": "html", "json": "json", "toml": "toml", "yaml": "yaml", "yml": "yaml", "csv": "csv"}
 # Predicates of statements of fact and of preference.
@@ -60,13 +63,13 @@ def token_count(col: Column) -> Column:
 
 
 def search_terms(col: Column) -> Column:
-    """Lower-case terms split at anything but letters and digits."""
-    return F.filter(F.split(F.lower(col), "[^a-z0-9]+"), lambda w: w != "")
+    """Lower-case terms split at anything but letters, marks and digits of any script."""
+    return F.filter(F.split(F.lower(col), r"[^\p{L}\p{M}\p{N}]+"), lambda w: w != "")
 
 
 def word_set(col: Column) -> Column:
-    """Distinct terms of more than one character, for overlap measures."""
-    return F.array_distinct(F.filter(search_terms(col), lambda w: F.length(w) > 1))
+    """Distinct terms of more than one byte, for overlap measures."""
+    return F.array_distinct(F.filter(search_terms(col), lambda w: F.octet_length(w) > 1))
 
 
 def strip_thousands(col: Column) -> Column:

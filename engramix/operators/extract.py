@@ -72,3 +72,9 @@ def literals(question: Column) -> Column:
     words = F.transform(F.split(rest, r"\s+"), lambda w: F.regexp_replace(w, r"^[?,.!;:()\[\]'\"]+|[?,.!;:()\[\]'\"]+$", ""))
     odd = lambda w: (w != "") & (w.rlike(r"\d") | w.rlike(r"[\p{L}\p{N}].*[_\-./:@#].*[\p{L}\p{N}]") | w.rlike(r"\p{Ll}\p{Lu}") | w.rlike(r"^(?=(?:[^A-Z]*[A-Z]){2})[A-Z0-9]+$"))
     return F.array_distinct(F.filter(F.concat(F.transform(quoted, F.trim), F.filter(words, odd)), lambda w: w != ""))
+
+
+def suppressed(spans: DataFrame, stronger: DataFrame, doc: str, start: str, end: str, confidence: str) -> DataFrame:
+    """``spans`` without those that overlap a span of ``stronger`` in the same document that is at least as certain; ends are exclusive."""
+    by = stronger.select(F.col(doc).alias("__d"), F.col(start).alias("__a"), F.col(end).alias("__b"), F.col(confidence).alias("__c"))
+    return spans.join(by, (F.col(doc) == F.col("__d")) & (F.col("__a") < F.col(end)) & (F.col(start) < F.col("__b")) & (F.col("__c") >= F.col(confidence)), "left_anti")

@@ -73,6 +73,23 @@ def chain(rows: DataFrame, per: list[str], ts: str, tie: str, max_gap_ms: int |
     return linked.select(*per, "src", F.col(tie).alias("dst"), "gap_ms")
 
 
+def positions(rows: DataFrame, per: list[str], ts: str, tie: str) -> DataFrame:
+    """``rows`` with ``position``, from 1 in each group in order of (ts, tie), null times last.
+
+    Days are numbered for themselves and get the count of the days before them, so a group that holds a third of all rows is spread over its days.
+    """
+    dated = rows.withColumn("__late", F.col(ts).isNull()).withColumn("__day", F.to_date(ts))
+    before = W.partitionBy(*per).orderBy("__late", "__day").rowsBetween(W.unboundedPreceding, -1)
+    days = dated.groupBy(*per, "__late", "__day").agg(F.count("*").alias("__n")).withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
+    renamed = days.select(*[F.col(c).alias(f"__p{i}") for i, c in enumerate(per)], F.col("__late").alias("__l"), F.col("__day").alias("__d"), "__before")
+    on = (F.col("__late") == F.col("__l")) & F.col("__day").eqNullSafe(F.col("__d"))
+    for i, c in enumerate(per):
+        on = on & F.col(c).eqNullSafe(F.col(f"__p{i}"))
+    within = F.row_number().over(W.partitionBy(*per, "__late", "__day").orderBy(ts, tie))
+    placed = dated.withColumn("__within", within).join(renamed, on)
+    return placed.select(*rows.columns, (F.col("__before") + F.col("__within")).cast("int").alias("position"))
+
+
 def as_of(left: DataFrame, right: DataFrame, keys: list[str], left_ts: str, right_ts: str, value: str, tolerance_ms: int | None = None) -> DataFrame:
     """``left`` with the last ``value`` of ``right`` at or before its time, within the tolerance, else null.
 

@@ -200,6 +200,6 @@ SQL = {
           UNION ALL SELECT message_id FROM message_views WHERE category IN ('preference', 'result') AND msg_timestamp >= TIMESTAMP '2024-03-01' AND msg_timestamp < TIMESTAMP '2024-06-01'),
         n AS (SELECT {_HEX} AS h, lower(trim(message_id)) AS b FROM k)
         SELECT {_CANON} AS id FROM n UNION SELECT artifact_id FROM ingest_artifacts WHERE category IN ('preference', 'result')""",
-    "jaccard_documents": """WITH t AS (SELECT item_id, list_distinct(list_filter(regexp_split_to_array(lower(question), '[^a-z0-9]+'), lambda x: length(x) > 1)) AS a, list_distinct(list_filter(regexp_split_to_array(lower(passage), '[^a-z0-9]+'), lambda x: length(x) > 1)) AS b FROM eval_items)
+    "jaccard_documents": r"""WITH t AS (SELECT item_id, list_distinct(list_filter(regexp_split_to_array(lower(question), '[^\p{L}\p{M}\p{N}]+'), lambda x: strlen(x) > 1)) AS a, list_distinct(list_filter(regexp_split_to_array(lower(passage), '[^\p{L}\p{M}\p{N}]+'), lambda x: strlen(x) > 1)) AS b FROM eval_items)
         SELECT item_id, round(len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))), 6) AS jaccard FROM t""",
 }

@@ -115,7 +115,7 @@ def context_lines(spark, folder):
 
 QUERIES = {f.__name__: f for f in (bm25_documents, bm25_passages, vector_nearest, hybrid_search, rrf_channels, rrf_weighted, max_merge, late_interaction_band, sparse_search, coverage_score, budget_packed, mmr_diversified, reranked_sigmoid, context_lines)}
 
-_TERMS = "unnest(list_filter(regexp_split_to_array(lower({0}), '[^a-z0-9]+'), lambda x: x <> ''))"
+_TERMS = "unnest(list_filter(regexp_split_to_array(lower({0}), '[^\\p{{L}}\\p{{M}}\\p{{N}}]+'), lambda x: x <> ''))"
 _BM25 = f"""t AS (SELECT doc_id AS doc, {_TERMS.format('text')} AS term FROM documents), dl AS (SELECT doc, count(*) AS dl FROM t GROUP BY 1), s AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM dl),
     q AS (SELECT DISTINCT {_TERMS.format(f"'{QUESTION}'")} AS term), h AS (SELECT doc, term, count(*) AS tf FROM t WHERE term IN (SELECT term FROM q) GROUP BY 1, 2), df AS (SELECT term, count(*) AS df FROM h GROUP BY 1),
     b AS (SELECT doc, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))) AS score FROM h JOIN df USING (term) JOIN dl USING (doc), s GROUP BY 1)"""

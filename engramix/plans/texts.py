@@ -114,8 +114,8 @@ SQL = {
     "passage_f1": f"""WITH t AS (SELECT item_id, {_ANS.format('question')} AS p, {_ANS.format('passage')} AS g, array_to_string({_ANS.format('passage')}, ' ') AS c, array_to_string({_ANS.format('answer')}, ' ') AS a FROM eval_items WHERE answer IS NOT NULL),
         u AS (SELECT *, list_sum(list_transform(list_distinct(p), lambda w: least(len(list_filter(p, lambda x: x = w)), len(list_filter(g, lambda x: x = w))))) AS common FROM t)
         SELECT item_id, round(CASE WHEN common > 0 THEN 2.0 * common / (len(p) + len(g)) ELSE 0 END, 6) AS f1, a <> '' AND contains(' ' || c || ' ', a) AS contained FROM u""",
-    "retrieval_quality": """WITH t AS (SELECT item_id AS doc, unnest(list_filter(regexp_split_to_array(lower(passage), '[^a-z0-9]+'), lambda x: x <> '')) AS term FROM eval_items), dl AS (SELECT doc, count(*) AS dl FROM t GROUP BY 1), s AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM dl),
-        q AS (SELECT DISTINCT item_id AS query, unnest(list_filter(regexp_split_to_array(lower(question), '[^a-z0-9]+'), lambda x: x <> '')) AS term FROM eval_items), h AS (SELECT doc, term, count(*) AS tf FROM t GROUP BY 1, 2), df AS (SELECT term, count(*) AS df FROM h GROUP BY 1),
+    "retrieval_quality": r"""WITH t AS (SELECT item_id AS doc, unnest(list_filter(regexp_split_to_array(lower(passage), '[^\p{L}\p{M}\p{N}]+'), lambda x: x <> '')) AS term FROM eval_items), dl AS (SELECT doc, count(*) AS dl FROM t GROUP BY 1), s AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM dl),
+        q AS (SELECT DISTINCT item_id AS query, unnest(list_filter(regexp_split_to_array(lower(question), '[^\p{L}\p{M}\p{N}]+'), lambda x: x <> '')) AS term FROM eval_items), h AS (SELECT doc, term, count(*) AS tf FROM t GROUP BY 1, 2), df AS (SELECT term, count(*) AS df FROM h GROUP BY 1),
         b AS (SELECT query, doc, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))) AS score FROM h JOIN q USING (term) JOIN df USING (term) JOIN dl USING (doc), s GROUP BY 1, 2),
         r AS (SELECT query, doc, row_number() OVER (PARTITION BY query ORDER BY round(score, 9) DESC, doc) AS k FROM b QUALIFY k <= 10), m AS (SELECT item_id, question_type, min(k) AS k FROM eval_items LEFT JOIN r ON query = item_id AND doc = item_id GROUP BY 1, 2)
         SELECT question_type, count(*) AS n, round(avg(CASE WHEN k IS NULL THEN 0.0 ELSE 1.0 END), 6) AS recall, round(avg(coalesce(1 / log2(k + 1), 0)), 6) AS ndcg, round(avg(coalesce(1.0 / k, 0)), 6) AS mrr, round(avg(CASE WHEN k IS NULL THEN 0.0 ELSE 1.0 END), 6) AS hit FROM m GROUP BY ROLLUP (question_type)""",

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import tempfile
 import uuid
 
@@ -29,10 +30,15 @@ def get_spark(app: str = "engramix", master: str | None = None, shuffle_partitio
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A folder in the cluster's shared storage (spark.checkpoint.dir); a local one only where it is unset."""
+    """A folder in the cluster's shared storage (spark.checkpoint.dir).
+
+    Where it is unset a local folder serves, but only with a local master: executors on other machines couldn't read it.
+    """
     sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+        if not configured and not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="engramix-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
@@ -40,13 +46,23 @@ def shared_dir(spark: SparkSession) -> str:
 def cut(df: DataFrame) -> DataFrame:
     """``df`` written to the shared folder and read again: later stages neither recompute it nor lose it with an executor.
 
-    The table is removed when the driver ends.
+    The table is removed when the driver ends, or before by ``discard``.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
     atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    found._cut_path = path
+    return found
+
+
+def discard(*tables: DataFrame) -> None:
+    """Removes tables made by ``cut`` that nothing reads any more, such as those of earlier rounds of a loop."""
+    for df in tables:
+        path = getattr(df, "_cut_path", None)
+        if path:
+            _remove(df.sparkSession, path)
 
 
 def _remove(spark: SparkSession, path: str) -> None:

@@ -15,38 +15,35 @@ class DeliveryLog:
     """foreachBatch sink that keeps one copy of each message over all batches.
 
     State and output are tables in ``folder``, one part per batch, so that a batch that is run
-    again after a failure overwrites its own part and changes nothing.
+    again after a failure overwrites its own part and changes nothing. Each batch reads the ranges that the one before it
+    left, and the keys of all: of every COMPACT batches as one table, and single ones since. A state that can't be read is an error.
     """
 
+    #: Batches whose keys are gathered into one table.
+    COMPACT = 64
+
     def __init__(self, spark: SparkSession, folder: str, id_col: str = "message_id", ts_col: str = "msg_timestamp", delivery_col: str = "delivery_id"):
         self.spark, self.folder = spark, folder
         self.columns = (id_col, ts_col, delivery_col)
 
     def _seen(self, before: int) -> Seen:
         empty = Seen.empty(self.spark)
-        for batch in range(before - 1, -1, -1):
-            try:
-                ranges = self.spark.read.schema(empty.ranges.schema).parquet(f"{self.folder}/ranges/batch={batch}")
-                break
-            except Exception:  # a batch without new rows wrote nothing
-                continue
-        else:
-            ranges = empty.ranges
-        paths = [f"{self.folder}/keys/batch={b}" for b in range(before)]
-        kept = [p for p in paths if self._exists(p)]
-        keys = self.spark.read.schema(empty.keys.schema).parquet(*kept) if kept else empty.keys
-        return Seen(ranges, keys)
-
-    def _exists(self, path: str) -> bool:
-        target = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        return target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
+        if not before:
+            return empty
+        table = lambda kind, *paths: self.spark.read.schema(kind.schema).parquet(*[f"{self.folder}/{p}" for p in paths])
+        whole = before // self.COMPACT * self.COMPACT
+        if whole == before:
+            older = [f"compact/upto={whole - self.COMPACT}"] if whole > self.COMPACT else []
+            gathered = table(empty.keys, *older, *[f"keys/batch={b}" for b in range(whole - self.COMPACT, whole)])
+            gathered.write.mode("overwrite").parquet(f"{self.folder}/compact/upto={whole}")
+        parts = [f"compact/upto={whole}"] if whole else []
+        return Seen(table(empty.ranges, f"ranges/batch={before - 1}"), table(empty.keys, *parts, *[f"keys/batch={b}" for b in range(whole, before)]))
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
-        seen = self._seen(batch_id)
-        accepted, after = accept(batch, seen, *self.columns)
+        accepted, after = accept(batch, self._seen(batch_id), *self.columns)
         accepted.write.mode("overwrite").parquet(f"{self.folder}/rows/batch={batch_id}")
         after.ranges.write.mode("overwrite").parquet(f"{self.folder}/ranges/batch={batch_id}")
-        after.keys.join(seen.keys, "key", "left_anti").write.mode("overwrite").parquet(f"{self.folder}/keys/batch={batch_id}")
+        after.fresh.write.mode("overwrite").parquet(f"{self.folder}/keys/batch={batch_id}")
 
 
 def session_activity(stream: DataFrame, session: str, ts: str, gap: str = "1 hour", late: str = "10 minutes") -> DataFrame:

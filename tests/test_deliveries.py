@@ -1,3 +1,4 @@
+import random
 from datetime import datetime
 
 import pytest
@@ -54,3 +55,28 @@ def test_batches_accept_each_identifier_once(spark):
 def test_hot_identifier(spark, hot):
     df = frame(spark, [(i, U, T1) for i in range(hot)] + [(hot + i, f"p:{i}", T0) for i in range(50)])
     assert D.duplicate_deliveries(df).count() == hot - 1
+
+
+def test_long_ranges_cost_a_few_rows(spark):
+    numbers = spark.createDataFrame([("p", n) for n in (0, 4, 5, 70_000, 10**12, 10**17, 10**17 + 1, 999_999_999_999_999_999)] + [("q", 5)], "__producer string, __seq long")
+    ranges = spark.createDataFrame([("p", 5, 10**17), ("p", 10**17 + 5, 999_999_999_999_999_999)], "producer string, lo long, hi long")
+    assert sorted(r["__seq"] for r in D.covered(numbers, ranges).collect()) == [5, 70_000, 10**12, 10**17, 999_999_999_999_999_999]
+    merged = D.merge_ranges(ranges.unionByName(spark.createDataFrame([("p", 10**17 + 1, 10**17 + 4), ("p", 1, 2), ("q", 7, 9), ("q", 8, 30_000_000), ("q", 2_000_000, 2_000_001), ("q", 30_000_001, 30_000_002)], "producer string, lo long, hi long")))
+    assert sorted(tuple(r) for r in merged.collect()) == [("p", 1, 2), ("p", 5, 999_999_999_999_999_999), ("q", 7, 30_000_002)]
+
+
+def test_ranges_against_brute_force(spark):
+    rnd = random.Random(4)
+    rows = [(i, f"{rnd.choice('ab')}:{rnd.randint(0, 150_000) if i % 3 else rnd.randint(100, 160)}", datetime(2024, 1, rnd.randint(1, 28))) for i in range(3000)]
+    first = {}
+    for d, m, t in sorted(rows, key=lambda r: (r[2], r[0])):
+        first.setdefault(m, d)
+    want = sorted(d for d, m, _ in rows if first[m] != d)
+    assert sorted(r[0] for r in D.duplicate_deliveries(frame(spark, rows).repartition(5)).collect()) == want
+    lows = [rnd.randint(0, 3_000_000) for _ in range(300)]
+    made = [("p", a, a + rnd.randint(0, 20_000)) for a in lows]
+    held = set()
+    for _, a, b in made:
+        held |= set(range(a, b + 1))
+    got = sorted(tuple(r) for r in D.merge_ranges(spark.createDataFrame(made, "producer string, lo long, hi long")).collect())
+    assert sum(b - a + 1 for _, a, b in got) == len(held) and all(a[2] + 1 < b[1] for a, b in zip(got, got[1:]))
