@@ -19,15 +19,20 @@ from pyspark.sql import functions as F
 
 RUN, SHARE = 12, 5
 #: Items of one automaton; more of them are matched block by block.
-BLOCK_ITEMS = 5000
+BLOCK_ITEMS = 50_000
 _DROP = regex.compile(r"\p{Cf}")
 _WORDS = regex.compile(r"[\p{L}\p{M}\p{N}]+")
+# Scripts written without spaces: each character, with its marks, counts as a word.
+_UNSPACED = r"\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}"
+_ANY_UNSPACED = regex.compile(f"[{_UNSPACED}]")
+_MIXED = regex.compile(rf"(?V1)[[{_UNSPACED}]--\p{{M}}]\p{{M}}*|[[\p{{L}}\p{{M}}\p{{N}}]--[{_UNSPACED}]]+")
 _SENTENCE = regex.compile(r"(?<=[.!?…。！？।][\"'”’»)]*)\s+|\n+|(?<=[。！？])")
 
 
 def words(text: str) -> list[str]:
-    """Words in lower case; punctuation, white space and invisible characters only separate or vanish."""
-    return _WORDS.findall(unicodedata.normalize("NFKC", _DROP.sub("", text)).casefold())
+    """Words in lower case; punctuation, white space and invisible characters only separate or vanish. In scripts without spaces every character is a word."""
+    plain = unicodedata.normalize("NFKC", _DROP.sub("", text)).casefold()
+    return (_MIXED if _ANY_UNSPACED.search(plain) else _WORDS).findall(plain)
 
 
 def myers(pattern: list[str], text: list[str]) -> int:
@@ -146,7 +151,7 @@ def leaks(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", text:
     """(doc_id, item_id), distinct: the item's passage leaked into the document.
 
     That is, ``run`` of its words stand there in a row, or a whole sentence of it with at most one word in
-    ``share`` replaced, misspelt, dropped or added. Null or empty texts and passages never match;
+    ``share`` replaced, misspelt, dropped or added; in scripts without spaces characters count as words. Null or empty texts and passages never match;
     repeated rows give one result; other columns aren't read. Documents are read once for every
     BLOCK_ITEMS items and never shuffled: what travels is the items, in blocks of that size.
     """
@@ -156,10 +161,10 @@ def leaks(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", text:
     blocks = max(1, -(-i.count() // BLOCK_ITEMS))
     out = None
     for b in range(blocks):
-        held = [(r["i"], r["p"]) for r in i.where(F.pmod(F.xxhash64("i", "p"), F.lit(blocks)) == b).collect()]
+        held = d.sparkSession.sparkContext.broadcast([(r["i"], r["p"]) for r in i.where(F.pmod(F.xxhash64("i", "p"), F.lit(blocks)) == b).collect()])
 
         def match(batches: Iterator[pd.DataFrame], held=held) -> Iterator[pd.DataFrame]:
-            matcher = Matcher(held, run, share)
+            matcher = Matcher(held.value, run, share)
             for batch in batches:
                 rows = [(key, item) for key, t in zip(batch["d"], batch["t"]) for item in matcher.items_in(t)]
                 yield pd.DataFrame(rows, columns=[doc_id, item_id])

@@ -45,12 +45,12 @@ WITH hits AS (
     SELECT query_id, node_id, lower(channel) AS channel, CASE WHEN lower(channel) = 'l2_distance' THEN -score ELSE score END AS score FROM scored_rows
     UNION ALL SELECT query_id, node_id, '(recalled)', score FROM recall_items)
   WHERE score IS NOT NULL AND NOT isnan(score) GROUP BY ALL),
-pct AS (SELECT *, (rank() OVER (PARTITION BY query_id, channel ORDER BY score) + (count(*) OVER (PARTITION BY query_id, channel, score) - 1) / 2.0 - 0.5) / count(*) OVER (PARTITION BY query_id, channel) AS p FROM hits),
+pct AS (SELECT *, count(*) OVER (PARTITION BY query_id, channel) AS m, (rank() OVER (PARTITION BY query_id, channel ORDER BY score) + (count(*) OVER (PARTITION BY query_id, channel, score) - 1) / 2.0 - 0.5) / count(*) OVER (PARTITION BY query_id, channel) AS p FROM hits),
 z AS (SELECT *, CASE WHEN p < {R.BREAK} THEN {_tail('p')} WHEN p > {1 - R.BREAK} THEN -({_tail('(1 - p)')})
   ELSE {_poly(R.MID_A, f'({_Q} * {_Q})')} * {_Q} / ({_poly(R.MID_B, f'({_Q} * {_Q})')} * {_Q} * {_Q} + 1) END AS z FROM pct),
 w AS (SELECT query_id, node_id, coalesce(max(tier_weight), 0) AS w FROM scored_rows LEFT JOIN search_targets ON lower(trim(label)) = lower(node_type) GROUP BY ALL),
 n AS (SELECT query_id, count(DISTINCT channel) AS n FROM hits GROUP BY 1),
-f AS (SELECT query_id, node_id, any_value(w) * sum(greatest(z - ({R.FLOOR}), 0)) / any_value(n) AS fused FROM z JOIN w USING (query_id, node_id) JOIN n USING (query_id) GROUP BY ALL)
+f AS (SELECT query_id, node_id, any_value(w) * sum(z - least({R.FLOOR}, CASE WHEN 0.5 / m < {R.BREAK} THEN {_tail('(0.5 / m)')} ELSE 0 END)) / any_value(n) AS fused FROM z JOIN w USING (query_id, node_id) JOIN n USING (query_id) GROUP BY ALL)
 """
 
 SQL = {

@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from engramix.session import cut
+
 # Coefficients of Acklam's rational approximation of the inverse normal distribution.
 TAIL_C = (-7.784894002430293e-03, -3.223964580411365e-01, -2.400758277161838, -2.549732539343734, 4.374664141464968, 2.938163982698783)
 TAIL_D = (7.784695709041462e-03, 3.224671290700398e-01, 2.445134137142996, 3.754408661907416)
@@ -22,10 +24,10 @@ BREAK = 0.02425
 
 #: Channels in which less is better.
 DESCENDING = ("l2_distance",)
-#: Normal score of an item that a channel misses: below every percentile that a channel can give.
+#: Normal score of an item that a channel misses: at most this, and never above the lowest that the channel can give.
 FLOOR = -3.0
-#: Inner boundaries of the buckets into which the scores of one channel of one query are split.
-SPLITS = [i / 16 for i in range(1, 16)]
+#: Rows of one channel of one query that a task ranks by itself; larger groups are ranked bucket by bucket.
+GROUP = 200_000
 
 
 def _poly(coefficients, x: Column) -> Column:
@@ -44,29 +46,46 @@ def inverse_normal(p: Column) -> Column:
     return F.when(p < BREAK, tail(p)).when(p > 1 - BREAK, -tail(1 - p)).otherwise(mid)
 
 
+def lowest(n: Column, floor: float = FLOOR) -> Column:
+    """The floor under a group of ``n`` items: ``floor``, or the normal score of the last of them where that is lower."""
+    return F.least(F.lit(floor), inverse_normal(0.5 / n))
+
+
 def normal_scores(scores: DataFrame, group: list[str], value: str) -> DataFrame:
-    """``scores`` with ``z``: the normal score of ``value`` among the rows of its ``group``.
+    """``scores`` with ``z``, the normal score of ``value`` among the rows of its ``group``, and ``n``, how many these are.
 
-    ``value`` must be neither null nor NaN. A group is split into buckets at approximate
-    quantiles and ranked bucket by bucket, with the sizes of the lower buckets added: no task
-    sorts a whole group, even if one holds a third of all rows. Equal values fall into one bucket.
+    ``value`` must be neither null nor NaN. Groups of up to GROUP rows are ranked by one task each. Of larger ones equal values
+    are counted first and ranked as one row each, in buckets at approximate quantiles with the sizes of the lower ones added, so that
+    no task sorts a whole group, even if one holds a third of all rows or all its values are equal. The ranks are the same either way.
     """
-    stats = scores.groupBy(*group).agg(F.count("*").alias("__n"), F.percentile_approx(value, SPLITS, 200).alias("__cuts"))
-    split = scores.join(stats, group).withColumn("__bucket", F.size(F.filter("__cuts", lambda c: c < F.col(value)))).drop("__cuts")
-    sizes = split.groupBy(*group, "__bucket").agg(F.count("*").alias("__size"))
-    lower = W.partitionBy(*group).orderBy("__bucket").rowsBetween(W.unboundedPreceding, -1)
-    sizes = sizes.withColumn("__before", F.coalesce(F.sum("__size").over(lower), F.lit(0))).drop("__size")
-    inside = W.partitionBy(*group, "__bucket")
-    first = F.rank().over(inside.orderBy(value))
-    ties = F.count("*").over(inside.orderBy(value).rangeBetween(W.currentRow, W.currentRow))
-    ranked = split.withColumn("__rank", first + (ties - 1) / 2).join(sizes, [*group, "__bucket"])
-    return ranked.withColumn("z", inverse_normal((F.col("__before") + F.col("__rank") - 0.5) / F.col("__n"))).drop("__bucket", "__rank", "__before", "__n")
+    sizes = scores.groupBy(*group).agg(F.count("*").alias("n"))
+    big = sizes.where(F.col("n") > GROUP)
+    most = big.agg(F.max("n")).first()[0]
+    whole = W.partitionBy(*group)
+    ties = whole.orderBy(value).rangeBetween(W.currentRow, W.currentRow)
+    percentile = lambda df, rank: df.withColumn("z", inverse_normal((rank - 0.5) / F.col("n")))
+    few = scores if most is None else scores.join(F.broadcast(big.drop("n")), group, "left_anti")
+    ranked = percentile(few.withColumn("n", F.count("*").over(whole)), F.rank().over(whole.orderBy(value)) + (F.count("*").over(ties) - 1) / 2)
+    if most is None:
+        return ranked
+    # At most rows / GROUP groups are large, so their list and their boundaries are small.
+    splits = [i / k for k in [max(2, -(-2 * most // GROUP))] for i in range(1, k)]
+    many = scores.join(F.broadcast(big), group)
+    values = many.groupBy(*group, "n", value).agg(F.count("*").alias("__c"))
+    cuts = many.groupBy(*group).agg(F.percentile_approx(value, splits, 1000).alias("__cuts"))
+    placed = values.join(F.broadcast(cuts), group).withColumn("__bucket", F.size(F.filter("__cuts", lambda c: c < F.col(value)))).drop("__cuts")
+    lower = whole.orderBy("__bucket").rowsBetween(W.unboundedPreceding, -1)
+    below = placed.groupBy(*group, "__bucket").agg(F.sum("__c").alias("__size")).withColumn("__below", F.coalesce(F.sum("__size").over(lower), F.lit(0))).drop("__size")
+    inside = W.partitionBy(*group, "__bucket").orderBy(value).rowsBetween(W.unboundedPreceding, -1)
+    first = F.col("__below") + F.coalesce(F.sum("__c").over(inside), F.lit(0))
+    scored = percentile(placed.join(below, [*group, "__bucket"]), first + (F.col("__c") + 1) / 2).select(*group, value, "n", "z")
+    return ranked.unionByName(scores.join(scored, [*group, value]).select(*ranked.columns))
 
 
 def fuse(scored: DataFrame, targets: DataFrame, recalled: DataFrame | None = None, floor: float = FLOOR, top: int | None = None) -> DataFrame:
     """(query_id, node_id, position, fused): one ranking of the nodes of each query.
 
-    fused = tier weight times the mean, over all channels of the query, of (z - floor); a channel
+    fused = tier weight times the mean, over all channels of the query, of z above the channel's floor (``lowest``); a channel
     that misses the node adds 0, so a node has to stand well with many channels. Scores of
     ``recalled`` (query_id, node_id, score) form one more channel. Null and NaN scores and rows
     without query, node or channel count as missing; of a hit found twice in a channel the better
@@ -79,13 +98,13 @@ def fuse(scored: DataFrame, targets: DataFrame, recalled: DataFrame | None = Non
     hits = scored.where(usable & F.col("channel").isNotNull()).select("query_id", "node_id", F.lower("channel").alias("channel"), better.alias("score"))
     if recalled is not None:
         hits = hits.unionByName(recalled.where(usable).select("query_id", "node_id", F.lit("(recalled)").alias("channel"), "score"))
-    hits = hits.groupBy("query_id", "channel", "node_id").agg(F.max("score").alias("score"))
+    hits = cut(hits.groupBy("query_id", "channel", "node_id").agg(F.max("score").alias("score")))
     z = normal_scores(hits, ["query_id", "channel"], "score")
     weights = targets.groupBy(F.lower("node_type").alias("label")).agg(F.max("tier_weight").alias("weight"))
     labels = scored.where("query_id is not null and node_id is not null").select("query_id", "node_id", F.lower(F.trim("label")).alias("label")).distinct()
     weighed = labels.join(weights, "label", "left").groupBy("query_id", "node_id").agg(F.coalesce(F.max("weight"), F.lit(0.0)).alias("weight"))
     channels = hits.groupBy("query_id").agg(F.count_distinct("channel").alias("channels"))
-    sums = z.groupBy("query_id", "node_id").agg(F.sum(F.greatest(F.col("z") - floor, F.lit(0.0))).alias("sum"))
+    sums = z.groupBy("query_id", "node_id").agg(F.sum(F.col("z") - lowest(F.col("n"), floor)).alias("sum"))
     fused = sums.join(weighed, ["query_id", "node_id"]).join(channels, "query_id").select("query_id", "node_id", (F.col("weight") * F.col("sum") / F.col("channels")).alias("fused"))
     position = F.row_number().over(W.partitionBy("query_id").orderBy(F.round("fused", 9).desc(), "node_id"))
     ranked = fused.withColumn("position", position)

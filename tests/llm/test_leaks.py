@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 from engramix.llm import leaks as L
 
 PASSAGE = "When the nameless ferry to Phaurkaimu brought no maps, a surveyor named Jhorethunne buried 553 salted mirrors and later told Thoridrane it concerned salted anchors. The week Ghelepparira painted its ropes humming, a retired pilot hid 107 frozen anchors in a cellar."
@@ -62,3 +64,12 @@ def test_rows(spark):
     got = sorted((str(r["doc_id"]), r["item_id"]) for r in L.leaks(docs, items).collect())
     assert got == [("1", 9), ("4", 9), ("None", 9)]
     assert L.leaks(docs, items.where("false")).count() == 0 and L.leaks(docs.where("false"), items).count() == 0
+
+
+@pytest.mark.parametrize("sentence", ["昨天晚上我们在图书馆里讨论了新的预算和会议室的安排。", "昨日の夜、図書館で新しい予算と会議室の予約について話し合いました。", "เมื่อคืนนี้เราคุยกันเรื่องงบประมาณใหม่และการจองห้องประชุมในห้องสมุด"])
+def test_scripts_without_spaces(spark, sentence):
+    """A sentence leaks with one character changed, and in the middle of a clause; another one doesn't."""
+    other = sentence[:6] + "们" + sentence[7:]
+    docs = [(1, f"前面的话{sentence}后面的话"), (2, f"x {other} y"), (3, "今天我们去公园散步，然后吃了午饭，谈了很多别的事情。"), (4, "วันนี้อากาศดีมากและเราไปเดินเล่นที่สวนสาธารณะกับเพื่อน")]
+    found = L.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(7, sentence)], "item_id long, passage string"))
+    assert sorted(tuple(r) for r in found.collect()) == [(1, 7), (2, 7)]
