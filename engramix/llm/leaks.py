@@ -25,14 +25,25 @@ _WORDS = regex.compile(r"[\p{L}\p{M}\p{N}]+")
 # Scripts written without spaces: each character, with its marks, counts as a word.
 _UNSPACED = r"\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}"
 _ANY_UNSPACED = regex.compile(f"[{_UNSPACED}]")
+_IDEOGRAPHS = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}]+")
 _MIXED = regex.compile(rf"(?V1)[[{_UNSPACED}]--\p{{M}}]\p{{M}}*|[[\p{{L}}\p{{M}}\p{{N}}]--[{_UNSPACED}]]+")
 _SENTENCE = regex.compile(r"(?<=[.!?…。！？।][\"'”’»)]*)\s+|\n+|(?<=[。！？])")
 
 
 def words(text: str) -> list[str]:
     """Words in lower case; punctuation, white space and invisible characters only separate or vanish. In scripts without spaces every character is a word."""
-    plain = unicodedata.normalize("NFKC", _DROP.sub("", text)).casefold()
-    return (_MIXED if _ANY_UNSPACED.search(plain) else _WORDS).findall(plain)
+    found = _WORDS.findall(unicodedata.normalize("NFKC", _DROP.sub("", text)).casefold())
+    if text.isascii() or not _ANY_UNSPACED.search(text):
+        return found
+    out: list[str] = []
+    for word in found:
+        if word.isascii():
+            out.append(word)
+        elif _IDEOGRAPHS.fullmatch(word):
+            out += word
+        else:
+            out += _MIXED.findall(word)
+    return out
 
 
 def myers(pattern: list[str], text: list[str]) -> int:
