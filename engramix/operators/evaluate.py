@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 
 def answer_tokens(text: Column) -> Column:
@@ -52,7 +53,49 @@ def summary(measures: DataFrame, by: list[str], columns: list[str]) -> DataFrame
     return measures.rollup(*by).agg(F.count("*").alias("n"), *[F.avg(c).alias(c) for c in columns])
 
 
-def upper_median(column: str) -> Column:
-    """The middle value, the upper one of two."""
-    ordered = F.array_sort(F.collect_list(column))
-    return F.element_at(ordered, (F.floor(F.size(ordered) / 2) + 1).cast("int"))
+def upper_median(rows: DataFrame, column: str) -> Column:
+    """The middle value of a column, the upper one of two, as a scalar: found by counting values, so no task holds them all."""
+    counted = rows.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("v")).agg(F.count("*").alias("c"))
+    n = counted.agg(F.coalesce(F.sum("c"), F.lit(0))).scalar()
+    ordered = counted.withColumn("upto", F.sum("c").over(W.orderBy("v")))
+    return ordered.where(F.col("upto") > F.floor(n / 2)).agg(F.min("v")).scalar()
+
+
+def recall_summary(ranks: DataFrame, rank: str, tokens: str) -> DataFrame:
+    """One row: queries, hit_1, hit_5, mrr and the upper median of tokens; a null rank is a miss."""
+    share = lambda k: F.avg(F.when(F.col(rank) <= k, 1.0).otherwise(0.0))
+    counted = ranks.agg(F.count("*").alias("queries"), share(1).alias("hit_1"), share(5).alias("hit_5"), F.avg(F.coalesce(1.0 / F.col(rank), F.lit(0.0))).alias("mrr"))
+    return counted.withColumn("tokens_p50", upper_median(ranks, tokens))
+
+
+def contains_at(ranked: DataFrame, gold: DataFrame, query: str, content: str, answer: str, rank: str, ks: tuple[int, ...]) -> DataFrame:
+    """(query, at_k for each k): whether the answer stands in one of the first k contents; every query of ``gold`` has a row."""
+    first = ranked.join(gold, query).where(contains_answer(F.col(content), F.col(answer))).groupBy(query).agg(F.min(rank).alias("__first"))
+    joined = gold.join(first, query, "left")
+    return joined.select(query, *[F.coalesce(F.col("__first") <= k, F.lit(False)).alias(f"at_{k}") for k in ks])
+
+
+def moving_average(rows: DataFrame, per: str, at: str, tie: str, value: str, share: float) -> DataFrame:
+    """(per, ema): the exponential moving average after the last row of each group; it begins with the first value.
+
+    A sum of weighted values, so rows are combined before the shuffle that adds them up; only their places are counted in order.
+    """
+    w = W.partitionBy(per).orderBy(at, tie)
+    back = W.partitionBy(per).orderBy(F.col(at).desc(), F.col(tie).desc())
+    placed = rows.withColumn("__i", F.row_number().over(w)).withColumn("__back", F.row_number().over(back) - 1)
+    weight = F.pow(F.lit(1 - share), F.col("__back")) * F.when(F.col("__i") == 1, 1.0).otherwise(share)
+    return placed.groupBy(per).agg(F.sum(F.col(value) * weight).alias("ema"))
+
+
+def judged(reply: Column) -> Column:
+    """1 for a reply of a judge that says CORRECT, 0 for one that says WRONG or neither; the last of both words counts."""
+    words = F.regexp_extract_all(F.upper(reply), F.lit(r"\b(CORRECT|WRONG|INCORRECT)\b"), F.lit(1))
+    return F.when(F.coalesce(F.try_element_at(words, F.lit(-1)) == "CORRECT", F.lit(False)), 1.0).otherwise(0.0)
+
+
+def evidence_hits(recalled: DataFrame, evidence: DataFrame, query: str, content: str, text: str) -> DataFrame:
+    """(query, found, total): how many pieces of evidence stand in what was recalled, by all their words in a row."""
+    wanted = evidence.where(F.size(answer_tokens(F.col(text))) > 0).select(query, text).distinct()
+    hits = wanted.join(recalled.select(query, content), query).where(contains_answer(F.col(content), F.col(text))).select(query, text).distinct().groupBy(query).agg(F.count("*").alias("found"))
+    totals = wanted.groupBy(query).agg(F.count("*").alias("total"))
+    return totals.join(hits, query, "left").select(query, F.coalesce("found", F.lit(0)).alias("found"), "total")

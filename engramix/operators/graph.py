@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from engramix.operators.components import components
-from engramix.session import cut
+from engramix.session import cut, discard
 
 
 def directed(edges: DataFrame, direction: str = "out", etypes: list[str] | None = None) -> DataFrame:
@@ -61,11 +61,37 @@ def personalised_pagerank(edges: DataFrame, seeds: DataFrame, damping: float = 0
         moved = score.join(step, score["node"] == step["src"]).select(F.col("dst").alias("node"), (F.col("score") * F.col("p") * damping).alias("s"))
         home = start.select("node", (F.col("score") * (1 - damping)).alias("s"))
         fresh = cut(moved.unionByName(home).groupBy("node").agg(F.sum("s").alias("score")))
+        settled = False
         if tolerance and round_ % 5 == 4:
             moved_by = fresh.join(score.withColumnRenamed("score", "old"), "node", "full").select(F.max(F.abs(F.coalesce("score", F.lit(0.0)) - F.coalesce("old", F.lit(0.0))))).first()[0]
-            if moved_by is not None and moved_by < tolerance:
-                score = fresh
-                break
+            settled = moved_by is not None and moved_by < tolerance
+        if score is not start:
+            discard(score)
+        score = fresh
+        if settled:
+            break
+    return score
+
+
+def activation(edges: DataFrame, seeds: DataFrame, damping: float, rounds: int, type_weights: dict[str, float]) -> DataFrame:
+    """(query, node, score): personalised PageRank for many queries at once, each from its own ``seeds`` (query, node), over edges in both directions.
+
+    Steps are joins on the node; what a query holds is combined before each shuffle.
+    """
+    both = directed(edges, "both")
+    weight = F.coalesce("weight", F.lit(1.0)) * F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for p in type_weights.items() for x in p]), F.col("etype")), F.lit(1.0))
+    summed = both.select("src", "dst", weight.alias("w")).where("w > 0").groupBy("src", "dst").agg(F.sum("w").alias("w"))
+    totals = summed.groupBy("src").agg(F.sum("w").alias("total"))
+    step = cut(summed.join(totals, "src").select("src", "dst", (F.col("w") / F.col("total")).alias("p")))
+    sizes = seeds.select("query", "node").distinct().groupBy("query").agg(F.count("*").alias("n"))
+    start = cut(seeds.select("query", "node").distinct().join(sizes, "query").select("query", "node", (1.0 / F.col("n")).alias("score")))
+    score = start
+    for _ in range(rounds):
+        moved = score.join(step, score["node"] == step["src"]).select("query", F.col("dst").alias("node"), (F.col("score") * F.col("p") * damping).alias("s"))
+        home = start.select("query", "node", (F.col("score") * (1 - damping)).alias("s"))
+        fresh = cut(moved.unionByName(home).groupBy("query", "node").agg(F.sum("s").alias("score")))
+        if score is not start:
+            discard(score)
         score = fresh
     return score
 
@@ -143,9 +169,12 @@ def label_propagation(edges: DataFrame, rounds: int = 20, largest: int = 50_000)
 def descendants(parents: DataFrame, child: str, parent: str, most: int = 5) -> DataFrame:
     """(root, node, depth): every node under each node, up to ``most`` levels, itself at depth 0."""
     links = parents.where(F.col(parent).isNotNull()).select(F.col(parent).alias("p"), F.col(child).alias("c")).distinct()
-    level = parents.select(F.col(child).alias("root"), F.col(child).alias("node")).distinct().withColumn("depth", F.lit(0))
-    out = level
+    level = parents.select(F.col(child).alias("root"), F.col(child).alias("node")).distinct()
+    out = level.withColumn("depth", F.lit(0))
     for depth in range(1, most + 1):
-        level = level.join(links, level["node"] == links["p"]).select("root", F.col("c").alias("node"), F.lit(depth).alias("depth"))
-        out = out.unionByName(level)
-    return out.groupBy("root", "node").agg(F.min("depth").alias("depth"))
+        reached = level.join(links, level["node"] == links["p"]).select("root", F.col("c").alias("node")).distinct()
+        level = cut(reached.join(out, ["root", "node"], "left_anti"))
+        out = out.unionByName(level.withColumn("depth", F.lit(depth)))
+        if level.isEmpty():
+            break
+    return out
