@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from engramix.functions.ids import bare_id, canonical_message_id
-from engramix.session import cut
+from engramix.session import cut, discard
 
 #: Any character that is neither white space nor invisible (zero-width, soft hyphen).
 VISIBLE = r"[^\s\p{Z}\x{85}\x{AD}\x{180E}\x{200B}-\x{200F}\x{2060}-\x{2064}\x{FEFF}]"
@@ -61,22 +61,18 @@ def one_per_message(messages: DataFrame, participants: DataFrame) -> DataFrame:
 def _tie_depths(rows: DataFrame, replies: DataFrame) -> DataFrame:
     """(delivery, depth): how many answers a message is behind, among messages of its own time.
 
-    Only answers with the time of what they answer take part; each round settles those
-    whose target is settled. Circles of answers keep depth 0.
+    Only answers with the time of what they answer take part. Each round doubles how far they look back, so a chain of n
+    answers takes log2(n) rounds. Circles of answers, and what answers into them, have no depth.
     """
-    spark = rows.sparkSession
-    left = cut(replies.where("same_time").select("delivery", "target"))
-    settled = spark.createDataFrame([], "delivery long, depth int")
-    depth = 1
-    while not left.isEmpty():
-        waiting = left.select(F.col("delivery").alias("w"))
-        ready = cut(left.join(waiting, left["target"] == waiting["w"], "left_anti").select("delivery"))
-        if ready.isEmpty():
+    state = cut(replies.where("same_time").select("delivery", F.col("target").alias("back"), F.lit(1).alias("depth"), F.lit(True).alias("open")))
+    for _ in range(state.count().bit_length() + 1):
+        onward = state.select(F.col("delivery").alias("d"), F.col("back").alias("b"), F.col("depth").alias("n"))
+        fresh = cut(state.join(onward, state["back"] == onward["d"], "left").select("delivery", F.coalesce("b", "back").alias("back"), (F.col("depth") + F.coalesce("n", F.lit(0))).alias("depth"), F.col("d").isNotNull().alias("open")))
+        discard(state)
+        state = fresh
+        if state.where("open").isEmpty():
             break
-        settled = settled.unionByName(ready.select("delivery", F.lit(depth).alias("depth")))
-        left = left.join(ready.select(F.col("delivery").alias("r")), F.col("delivery") == F.col("r"), "left_anti")
-        depth += 1
-    return settled
+    return state.where("not open").select("delivery", "depth")
 
 
 def rebuild(messages: DataFrame, participants: DataFrame) -> DataFrame:
@@ -125,22 +121,44 @@ def rebuild(messages: DataFrame, participants: DataFrame) -> DataFrame:
     return placed.select("session_id", (F.col("before") + F.col("within")).cast("int").alias("turn_no"), F.col("key").alias("message_id"), "role", "ts")
 
 
-def calibrated_gap(rows: DataFrame, channel: list[str], ts: str = "ts", share: float = 0.99, factor: float = 2.0) -> float:
+def _with_gaps(rows: DataFrame, channel: list[str], ts: str, tie: str) -> DataFrame:
+    """``rows`` with ``__gap``, the microseconds since the row before of the channel, null for the first and for rows without a time.
+
+    Rows are sorted within days; the first of a day gets its gap from the last time of the days before, of which there is one row each.
+    """
+    at = F.unix_micros(F.col(ts).cast("timestamp"))
+    dated = rows.withColumn("__late", F.col(ts).isNull()).withColumn("__day", F.to_date(ts)).withColumn("__at", at)
+    before = W.partitionBy(*channel).orderBy("__late", "__day").rowsBetween(W.unboundedPreceding, -1)
+    days = dated.groupBy(*channel, "__late", "__day").agg(F.max("__at").alias("__last")).withColumn("__prior", F.max("__last").over(before)).drop("__last")
+    renamed = days.select(*[F.col(c).alias(f"__c{i}") for i, c in enumerate(channel)], F.col("__late").alias("__l"), F.col("__day").alias("__d"), "__prior")
+    on = (F.col("__late") == F.col("__l")) & F.col("__day").eqNullSafe(F.col("__d"))
+    for i, c in enumerate(channel):
+        on = on & F.col(c).eqNullSafe(F.col(f"__c{i}"))
+    within = W.partitionBy(*channel, "__late", "__day").orderBy("__at", tie)
+    return dated.withColumn("__back", F.lag("__at").over(within)).join(renamed, on).withColumn("__gap", F.col("__at") - F.coalesce("__back", "__prior"))
+
+
+def calibrated_gap(rows: DataFrame, channel: list[str], ts: str = "ts", share: float = 0.99, factor: float = 2.0, tie: str = "delivery") -> float:
     """Seconds of inactivity that end a conversation: ``factor`` times the ``share`` quantile of the gaps within channels.
 
     0.0 where no channel has two rows.
     """
-    gap = F.unix_micros(F.col(ts).cast("timestamp")) - F.lag(F.unix_micros(F.col(ts).cast("timestamp"))).over(W.partitionBy(*channel).orderBy(ts))
-    found = rows.where(F.col(ts).isNotNull()).select((gap / 1e6).alias("gap")).where("gap is not null").agg(F.percentile_approx("gap", share, 1000)).first()[0]
+    gaps = _with_gaps(rows.where(F.col(ts).isNotNull()), channel, ts, tie).where("__gap is not null")
+    found = gaps.agg(F.percentile_approx(F.col("__gap") / 1e6, share, 10_000)).first()[0]
     return factor * (found or 0.0)
 
 
 def split_at_gaps(rows: DataFrame, channel: list[str], gap_seconds: float, ts: str = "ts", tie: str = "delivery") -> DataFrame:
     """``rows`` with ``part``: 1 for the first conversation of a channel, one more after each gap above ``gap_seconds``.
 
-    Rows without a timestamp belong to the last part.
+    Rows without a timestamp belong to the last part. Parts are numbered within days, with those of the days before added.
     """
-    w = W.partitionBy(*channel).orderBy(F.col(ts).isNull(), ts, tie)
-    at = F.unix_micros(F.col(ts).cast("timestamp"))
-    opens = F.when(at - F.lag(at).over(w) > gap_seconds * 1e6, 1).otherwise(0)
-    return rows.withColumn("__opens", opens).withColumn("part", F.sum("__opens").over(w) + 1).drop("__opens")
+    marked = _with_gaps(rows, channel, ts, tie).withColumn("__opens", F.when(F.col("__gap") > gap_seconds * 1e6, 1).otherwise(0))
+    before = W.partitionBy(*channel).orderBy("__late", "__day").rowsBetween(W.unboundedPreceding, -1)
+    days = marked.groupBy(*channel, "__late", "__day").agg(F.sum("__opens").alias("__n")).withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0)))
+    renamed = days.select(*[F.col(c).alias(f"__k{i}") for i, c in enumerate(channel)], F.col("__late").alias("__kl"), F.col("__day").alias("__kd"), "__before")
+    on = (F.col("__late") == F.col("__kl")) & F.col("__day").eqNullSafe(F.col("__kd"))
+    for i, c in enumerate(channel):
+        on = on & F.col(c).eqNullSafe(F.col(f"__k{i}"))
+    upto = F.sum("__opens").over(W.partitionBy(*channel, "__late", "__day").orderBy("__at", tie))
+    return marked.withColumn("__upto", upto).join(renamed, on).select(*rows.columns, (F.col("__before") + F.col("__upto") + 1).alias("part"))

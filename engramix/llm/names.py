@@ -7,7 +7,8 @@
    of any size is compared whole: cut into slices, and each slice with each other as a group of its own.
 3. Forms within a block are compared token by token by longest-common-subsequence ratio; in large
    ones the letters of the token left over are compared first.
-4. Names of initials ('Gray, K.G.', 'Wadan FH') are attached to the one form they can stand for.
+4. Names of initials ('Gray, K.G.', 'Wadan FH'), and names without the words in the middle of others, are attached to the one
+   entity they can stand for. Names of one word count only where one of their spellings has a legal form.
 5. Links are closed to entities.
 """
 
@@ -33,7 +34,7 @@ SLICE, BESIDE = 1000, 0.5
 
 
 def forms_of(names: DataFrame) -> DataFrame:
-    """(name, form, initials, words): ``words`` are the sorted long tokens of the name and ``form`` the same joined by blanks.
+    """(name, form, initials, words, in_order, legal): ``words`` are the sorted long tokens of the name and ``form`` the same joined by blanks.
 
     ``initials`` are its single letters or, of a token of two or three letters that stands last,
     its letters ('Wadan FH'). Names without letters have no row.
@@ -49,10 +50,10 @@ def forms_of(names: DataFrame) -> DataFrame:
                 if len(words) == 2 and not initials and 2 <= len(words[1]) <= 3 and len(words[0]) > 4 and words[1].upper() in name:
                     words, initials = words[:1], "#" + words[1]
                 if words:
-                    rows.append((name, " ".join(sorted(words)), initials, sorted(words), " ".join(words)))
-            yield pd.DataFrame(rows, columns=["name", "form", "initials", "words", "in_order"])
+                    rows.append((name, " ".join(sorted(words)), initials, sorted(words), " ".join(words), legal))
+            yield pd.DataFrame(rows, columns=["name", "form", "initials", "words", "in_order", "legal"])
 
-    return names.mapInPandas(read, "name string, form string, initials string, words array<string>, in_order string")
+    return names.mapInPandas(read, "name string, form string, initials string, words array<string>, in_order string, legal boolean")
 
 
 def _block_keys(words: list[str]) -> Iterator[tuple[str, str]]:
@@ -144,6 +145,19 @@ def _confirmed(forms: DataFrame, found: DataFrame) -> DataFrame:
     return found.where("t is null").select("src", "dst").unionByName(kept).distinct()
 
 
+def _shortened(parsed: DataFrame, parts: DataFrame) -> DataFrame:
+    """``parts`` with forms of two words joined to the one entity whose longer names begin and end with them ('Maria Lopez', 'Maria Elena Lopez').
+
+    A form that fits several entities stays by itself.
+    """
+    order = F.split("in_order", " ")
+    long = parsed.where("size(words) > 2").join(parts, "form").select(F.array_join(F.array_sort(F.array(order[0], F.element_at(order, -1))), " ").alias("short"), F.col("component").alias("target")).distinct()
+    one = long.groupBy("short").agg(F.count("*").alias("n"), F.min("target").alias("target")).where("n = 1")
+    edges = parts.join(one, parts["form"] == one["short"]).where("component <> target").select(F.col("component").alias("src"), F.col("target").alias("dst")).distinct()
+    merged = components(edges.select(F.col("src").alias("id")).unionByName(edges.select(F.col("dst").alias("id"))), cut(edges))
+    return parts.join(merged.select(F.col("id").alias("component"), F.col("component").alias("whole")), "component", "left").select("form", F.coalesce("whole", "component").alias("component"))
+
+
 def entities(names: DataFrame, least: float = 0.8) -> DataFrame:
     """(name, entity): every distinct name with the smallest form of the entity that it stands for.
 
@@ -155,7 +169,7 @@ def entities(names: DataFrame, least: float = 0.8) -> DataFrame:
     parsed = cut(forms_of(distinct))
     whole = parsed.where("size(words) >= 2").select("form", "words").distinct()
     whole = cut(whole)
-    parts = cut(components(whole, link_forms(whole, least), node="form"))
+    parts = cut(_shortened(parsed, cut(components(whole, link_forms(whole, least), node="form"))))
 
     # Names with one word and initials: the family name (or first word) and the letters of the others.
     short = parsed.where("size(words) = 1 and initials <> ''").select("name", F.col("form").alias("word"), "initials")
@@ -173,14 +187,23 @@ def entities(names: DataFrame, least: float = 0.8) -> DataFrame:
     best = votes.withColumn("any", F.max("full").over(W.partitionBy("name"))).where("full = any")
     one = best.groupBy("name").agg(F.count("*").alias("n"), F.min("component").alias("component")).where("n = 1").select("name", "component")
 
-    named = parsed.where("size(words) >= 2").join(parts, "form").select("name", "component").unionByName(one)
+    single = parsed.where("size(words) = 1 and initials = ''")
+    firms = single.groupBy("form").agg(F.bool_or("legal").alias("firm")).where("firm").select("form", F.col("form").alias("component"))
+    named = parsed.where("size(words) >= 2").join(parts, "form").select("name", "component").unionByName(one).unionByName(single.join(firms, "form").select("name", "component"))
     own = F.concat(F.lit("="), F.col("name"))
     return distinct.join(named, "name", "left").select("name", F.coalesce("component", own).alias("entity"))
 
 
 def variant_pairs(names: DataFrame, least: float = 0.8) -> DataFrame:
-    """(name_a, name_b), name_a < name_b by code point: all pairs of different spellings of one entity."""
+    """(name_a, name_b), name_a < name_b by code point: all pairs of different spellings of one entity.
+
+    An entity with more than SLICE spellings is split into slices, and each slice meets each other under a key of its own, so
+    that no task forms all pairs of a hot one.
+    """
     found = cut(entities(names, least).where(~F.col("entity").startswith("=")))
-    left = found.select(F.col("name").alias("name_a"), F.col("entity").alias("e"))
-    right = found.select(F.col("name").alias("name_b"), F.col("entity").alias("e2"))
-    return left.join(right, (F.col("e") == F.col("e2")) & (F.col("name_a") < F.col("name_b"))).select("name_a", "name_b")
+    slices = found.groupBy("entity").agg(F.ceil(F.count("*") / SLICE).alias("slices")).where("slices > 1")
+    placed = found.join(slices, "entity", "left").withColumn("slices", F.coalesce("slices", F.lit(1).cast("long"))).withColumn("at", F.pmod(F.xxhash64("name"), "slices"))
+    left = placed.select("entity", F.col("name").alias("x"), F.col("at").alias("i"), F.explode(F.sequence("at", F.col("slices") - 1)).alias("j"))
+    right = placed.select("entity", F.col("name").alias("y"), F.explode(F.sequence(F.lit(0).cast("long"), "at")).alias("i"), F.col("at").alias("j"))
+    met = left.join(right, ["entity", "i", "j"]).where("i < j or x < y")
+    return met.select(F.least("x", "y").alias("name_a"), F.greatest("x", "y").alias("name_b"))

@@ -19,17 +19,17 @@ MAX_CHARS, OVERLAP = 1500, 150
 KINDS = (
     (0.0, regex.compile(r"\n[^\S\n]*\n\s*|\n(?=#{1,6} |def |class |fn |func |function |@@ |diff )")),
     (0.6, regex.compile(r"\n+| | ")),
-    (1.0, regex.compile(r"(?<=[.!?…۔؟][\"'”’»)\]]*)\s+(?=[\p{Lu}\p{Lo}\p{N}\"'“‘«(¿¡\[])|(?<=[。！？｡][”’」』）]*)(?![。！？｡”’」』）])|(?<=[।॥])\s*")),
-    (2.0, regex.compile(r"(?<=[,;:،؛])\s+|(?<=[，、；：])")),
+    (1.0, regex.compile(r"[.!?…۔؟][\"'”’»)\]]*\s+(?=[\p{Lu}\p{Lo}\p{N}\"'“‘«(¿¡\[])|[。！？｡]+[”’」』）]*|[।॥]\s*")),
+    (2.0, regex.compile(r"[,;:،؛]\s+|[，、；：]")),
     (3.0, regex.compile(r"(?<=[}\])>])(?=[{\[(<])|\s+")),
     (5.0, regex.compile(r"(?<=\P{L})(?=\p{L})|(?<=[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}])(?=[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}])(?![\p{M}ะาำๅๆ])(?<![เแโใไ])")),
 )
-#: Penalty of a cut between any two characters, and how far one boundary may be from the next before weaker kinds are added.
-ANYWHERE, REACH = 9.0, 450
-#: Boundaries of at least the penalty WEAK (between words, within words) are thinned to one in SPARSE characters.
-WEAK, SPARSE = 3.0, 40
+#: Penalty of a cut between any two characters.
+ANYWHERE = 9.0
 #: Weight of the squared relative deviation from the even size.
 BALANCE = 4.0
+#: Kinds of more than this penalty (between words, within words, anywhere) count only where no stronger boundary is within a third of a piece.
+STRONG = 2.0
 _JOINS = regex.compile(r"[\p{M}‍️]")
 
 
@@ -43,26 +43,25 @@ def _whole(text: str, at: int) -> int:
 def boundaries(text: str, reach: int) -> tuple[np.ndarray, np.ndarray]:
     """Sorted cut positions within ``text`` (its end included) and their penalties.
 
-    Weaker kinds are looked for only between neighbours that are further apart than ``reach``.
+    All boundaries down to clauses; those between words, within words and between any two characters only between
+    neighbours that are further apart than ``reach``.
     """
     found: dict[int, float] = {0: 0.0, len(text): 0.0}
     gaps = [(0, len(text))]
     for penalty, pattern in KINDS:
-        left = []
         for a, b in gaps:
-            inside = []
             for m in pattern.finditer(text, a, b):
                 at = _whole(text, m.end())
-                if a < at < b and (penalty < WEAK or at - (inside[-1] if inside else a) >= SPARSE):
+                if a < at < b:
                     found.setdefault(at, penalty)
-                    inside.append(at)
-            edges = [a, *sorted(set(inside)), b]
-            left += [(x, y) for x, y in zip(edges, edges[1:]) if y - x > reach]
-        gaps = left
+        if penalty < STRONG:
+            continue
+        edges = sorted(found)
+        gaps = [(x, y) for x, y in zip(edges, edges[1:]) if y - x > reach]
         if not gaps:
             break
     for a, b in gaps:
-        for at in range(a + 50, b, 50):
+        for at in range(a + 1, b):
             at = _whole(text, at)
             if a < at < b:
                 found.setdefault(at, ANYWHERE)
@@ -108,22 +107,23 @@ def split(text: str, max_chars: int = MAX_CHARS, overlap: int = OVERLAP) -> list
     if len(text) <= max_chars:
         return [(0, 0, len(text))] if text else []
     room = max_chars - overlap
-    at, penalty = boundaries(text, max(2, min(REACH, room // 2)))
+    at, penalty = boundaries(text, max(2, room // 3))
     n = len(at)
     starts = np.concatenate([[0], overlap_starts(text, at[1:-1].tolist(), overlap), [len(text)]])
     even = len(text) / np.ceil(len(text) / room)
     cost, back = np.full(n, np.inf), np.zeros(n, dtype=np.int64)
     cost[0] = 0.0
-    lowest = np.searchsorted(starts, at - max_chars, side="left")
-    for j in range(1, n):
-        lo = int(lowest[j])
+    lowest = np.searchsorted(starts, at - max_chars, side="left").tolist()
+    scaled = at * (BALANCE**0.5 / even)
+    beyond = (scaled - BALANCE**0.5).tolist()
+    for j, (lo, far, weight) in enumerate(zip(lowest, beyond, penalty.tolist())):
         if lo >= j:
             continue
-        size = at[j] - at[lo:j]
-        off = size / even - 1
-        total = cost[lo:j] + BALANCE * off * off
-        k = int(total.argmin())
-        cost[j], back[j] = total[k] + penalty[j], lo + k
+        off = far - scaled[lo:j]
+        off *= off
+        off += cost[lo:j]
+        k = int(off.argmin())
+        cost[j], back[j] = off[k] + weight, lo + k
     if not np.isfinite(cost[-1]):  # a cluster of marks longer than a piece: cut through it
         cuts = list(range(0, len(text), room)) + [len(text)]
         return [(max(0, a - overlap) if a else 0, a, b) for a, b in zip(cuts, cuts[1:])]

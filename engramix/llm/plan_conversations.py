@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from engramix.llm.conversations import rebuild
+from pyspark.sql import functions as F
+
+from engramix.llm.conversations import calibrated_gap, rebuild, split_at_gaps
 from engramix.sources.tables import read
 
 
@@ -14,14 +16,20 @@ def p5_found(spark, folder):
 
 def p5_sessions(spark, folder):
     """Of each sound session: how many turns, and how many of them human or agent."""
-    from pyspark.sql import functions as F
-
     messages = read(spark, folder, "ingest_messages", "delivery_id", "message_id", "content", "sender_id", "session_id", "addressed_to", "msg_timestamp", "metadata")
     turns = rebuild(messages, read(spark, folder, "participants", "participant_id", "kind"))
     return turns.groupBy("session_id").agg(F.count("*").alias("turns"), F.count_if(F.col("role") == "human").alias("human_turns"), F.count_if(F.col("role") == "agent").alias("agent_turns"))
 
 
-QUERIES = {"p5_found": p5_found, "p5_sessions": p5_sessions}
+def p5_channels(spark, folder):
+    """Conversations of each sender's own channel, split at calibrated gaps: how many messages each has, and when it begins."""
+    rows = read(spark, folder, "ingest_messages", "delivery_id", "sender_id", "msg_timestamp").where("sender_id is not null").toDF("delivery", "sender_id", "ts")
+    gap = calibrated_gap(rows, ["sender_id"], share=0.9)
+    parts = split_at_gaps(rows, ["sender_id"], gap)
+    return parts.groupBy("sender_id", "part").agg(F.count("*").alias("messages"), F.min("ts").alias("begins"))
+
+
+QUERIES = {"p5_found": p5_found, "p5_sessions": p5_sessions, "p5_channels": p5_channels}
 
 _TURNS = r"""
 WITH RECURSIVE p AS (SELECT participant_id, coalesce(min(lower(trim(kind))), '') AS role FROM participants WHERE participant_id IS NOT NULL GROUP BY 1),
@@ -56,4 +64,7 @@ sound AS (SELECT session_id FROM s WHERE session_id NOT IN (SELECT session_id FR
 SQL = {
     "p5_found": _TURNS + "SELECT session_id, row_number() OVER (PARTITION BY session_id ORDER BY pos)::INT AS turn_no, key AS message_id FROM o WHERE NOT blank AND session_id IN (SELECT session_id FROM sound)",
     "p5_sessions": _TURNS + "SELECT session_id, count(*) AS turns, count(*) FILTER (role = 'human') AS human_turns, count(*) FILTER (role = 'agent') AS agent_turns FROM o WHERE NOT blank AND session_id IN (SELECT session_id FROM sound) GROUP BY 1",
+    "p5_channels": """WITH r AS (SELECT delivery_id AS d, sender_id, msg_timestamp AS ts FROM ingest_messages WHERE sender_id IS NOT NULL), g AS (SELECT *, epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY sender_id ORDER BY ts NULLS LAST, d) AS gap FROM r),
+        c AS (SELECT 2 * quantile_disc(gap, 0.9) AS gap FROM g WHERE ts IS NOT NULL AND gap IS NOT NULL), p AS (SELECT g.sender_id, ts, sum(CASE WHEN g.gap > c.gap THEN 1 ELSE 0 END) OVER (PARTITION BY sender_id ORDER BY ts NULLS LAST, d) + 1 AS part FROM g, c)
+        SELECT sender_id, part::BIGINT AS part, count(*) AS messages, min(ts) AS begins FROM p GROUP BY 1, 2""",
 }

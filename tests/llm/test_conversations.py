@@ -64,3 +64,10 @@ def test_queries_equal_sql(spark, folder):
     for name in plan.QUERIES:
         got, want = plan.QUERIES[name](spark, folder).toPandas(), database(folder).execute(plan.SQL[name]).df()
         assert rows(got, sorted(got.columns)) == rows(want, sorted(got.columns))
+
+
+def test_a_long_chain_of_equal_times(spark):
+    """Answers of one time are ordered however long their chain is; what answers into a circle keeps its place."""
+    n = 70
+    data = [msg(n - i, "ha"[i % 2], "s", 1, reply=f"m{n - i + 1}" if i else None) for i in range(n)]
+    assert [t[1] for t in turns(spark, data)["s"]] == [f"m{n - i}" for i in range(n)]

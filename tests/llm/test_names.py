@@ -74,6 +74,14 @@ def test_blocks_of_any_size_are_compared_whole(spark, monkeypatch):
     assert ("anna bergstad", "anna bergsted") in want and any("hldgs" in f for f, _ in want)
 
 
+def test_names_of_one_word_and_without_the_middle(spark, monkeypatch):
+    monkeypatch.setattr(names, "SLICE", 3)
+    rows = ["Zurovane Ltd", "ZUROVANE Limited", "Zurovane", "Ostenby", "OSTENBY", "Maria Elena Hivelberg", "Maria Hivelberg", "HIVELBERG, Maria", "Maria E. Hivelberg", "Otto Tarevmont", "Otto Emil Tarevmont", "Otto Karl Tarevmont"]
+    found = {tuple(r) for r in names.variant_pairs(spark.createDataFrame([(n,) for n in rows], "name string")).collect()}
+    groups = [rows[:3], rows[5:9]]
+    assert found == {tuple(sorted(p)) for g in groups for p in itertools.combinations(g, 2)}
+
+
 def test_empty(spark):
     assert names.variant_pairs(spark.createDataFrame([], "name string")).count() == 0
 
