@@ -5,22 +5,33 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Auxiliary words before a verb.
-AUXILIARIES = ("is", "are", "was", "were", "am", "be", "been", "being", "has", "have", "had", "do", "does", "did", "will", "would", "shall", "should", "can", "could", "may", "might", "must")
+# Auxiliary words before a verb; the first that fits is taken off.
+PREFIXES = (
+    "has_been_", "have_been_", "had_been_", "is_being_", "was_being_", "are_", "were_", "have_", "has_", "had_", "is_", "was_", "be_", "been_", "being_",
+    "will_", "would_", "should_", "could_", "might_", "may_", "do_", "does_", "did_", "to_",
+)
 # Irregular forms of verbs.
 IRREGULAR = {
-    "was": "be", "were": "be", "is": "be", "are": "be", "am": "be", "been": "be", "has": "have", "had": "have", "did": "do", "does": "do", "done": "do", "went": "go", "gone": "go", "goes": "go", "got": "get", "gotten": "get",
-    "made": "make", "took": "take", "taken": "take", "gave": "give", "given": "give", "saw": "see", "seen": "see", "came": "come", "knew": "know", "known": "know", "thought": "think", "told": "tell", "said": "say", "found": "find",
-    "left": "leave", "felt": "feel", "kept": "keep", "began": "begin", "begun": "begin", "brought": "bring", "bought": "buy", "wrote": "write", "written": "write", "ran": "run", "met": "meet", "led": "lead", "held": "hold",
-    "built": "build", "sent": "send", "spent": "spend", "lost": "lose", "won": "win", "taught": "teach", "caught": "catch", "chose": "choose", "chosen": "choose", "spoke": "speak", "spoken": "speak", "grew": "grow", "grown": "grow",
+    "got": "get", "gotten": "get", "went": "go", "gone": "go", "goes": "go", "said": "say", "says": "say", "saw": "see", "seen": "see", "sees": "see", "took": "take", "taken": "take", "takes": "take", "made": "make", "makes": "make",
+    "had": "have", "has": "have", "did": "do", "done": "do", "does": "do", "was": "be", "were": "be", "been": "be", "is": "be", "are": "be", "am": "be", "came": "come", "comes": "come", "gave": "give", "given": "give", "gives": "give",
+    "knew": "know", "known": "know", "knows": "know", "thought": "think", "thinks": "think", "told": "tell", "tells": "tell", "found": "find", "finds": "find", "brought": "bring", "brings": "bring", "bought": "buy", "buys": "buy",
+    "ran": "run", "runs": "run", "ate": "eat", "eaten": "eat", "eats": "eat", "wrote": "write", "written": "write", "writes": "write", "read": "read", "reads": "read", "met": "meet", "meets": "meet", "lost": "lose", "loses": "lose",
+    "won": "win", "wins": "win", "sent": "send", "sends": "send", "kept": "keep", "keeps": "keep", "felt": "feel", "feels": "feel", "left": "leave", "leaves": "leave", "heard": "hear", "hears": "hear", "held": "hold", "holds": "hold",
+    "paid": "pay", "pays": "pay", "put": "put", "puts": "put", "set": "set", "sets": "set",
 }
+# Endings and what takes their place; the first that fits and leaves two letters counts.
+SUFFIXES = (
+    ("nning", "n"), ("tting", "t"), ("dding", "d"), ("pping", "p"), ("gging", "g"), ("bbing", "b"), ("mming", "m"), ("ying", "y"), ("ing", ""), ("nned", "n"), ("tted", "t"), ("dded", "d"), ("pped", "p"), ("gged", "g"), ("ied", "y"), ("ed", ""),
+    ("ies", "y"), ("sses", "ss"), ("ches", "ch"), ("shes", "sh"), ("xes", "x"), ("zes", "z"), ("oes", "o"), ("s", ""),
+)
 # Verbs that say little without an object of their own.
 LIGHT = ("do", "make", "get", "have", "be", "go")
-# Words that deny.
-NEGATIONS = ("not", "never", "no", "nor", "n't")
-# Prepositions and articles at the begin of an object, and words that are no object.
-LEADING = ("to", "at", "in", "on", "of", "for", "with", "from", "by", "about", "into", "a", "an", "the")
-EMPTY = ("it", "this", "that", "these", "those", "he", "she", "they", "him", "her", "them", "me", "you", "us", "we", "i", "here", "there", "something", "anything", "nothing", "everything", "someone", "one")
+# Articles and prepositions at the begin of an object, and phrases that are no object.
+LEADING = ("the", "a", "an", "in", "on", "at", "to", "of", "for", "with", "from", "by", "into", "onto", "upon", "about", "around", "before", "after", "over", "under")
+EMPTY = (
+    "i", "me", "my", "mine", "you", "your", "yours", "he", "him", "his", "she", "her", "hers", "it", "its", "we", "us", "our", "ours", "they", "them", "their", "theirs", "what", "who", "which", "thing", "things", "stuff", "something", "anything",
+    "everything", "nothing", "yesterday", "today", "tomorrow", "now", "then", "this", "that", "these", "those",
+)
 
 
 def normal_predicate(col: Column) -> Column:
@@ -29,38 +40,30 @@ def normal_predicate(col: Column) -> Column:
 
 
 def lemma(col: Column) -> Column:
-    """The base form of the first word of a predicate that is no auxiliary; the words after it stay ('moved_to' is 'move_to').
+    """The base form of a predicate: one auxiliary before it is taken off; then irregular forms by table, others by their ending."""
+    normal = normal_predicate(col)
+    head = F.coalesce(F.nullif(F.regexp_extract(normal, rf"^(?:{'|'.join(PREFIXES)})(.+)$", 1), F.lit("")), normal)
+    regular = F
+    for ending, instead in SUFFIXES:
+        rest = F.concat(F.substring(head, F.lit(1), F.length(head) - len(ending)), F.lit(instead))
+        regular = regular.when(head.endswith(ending) & (F.length(rest) >= 2), rest)
+    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in IRREGULAR.items() for x in pair]), head), regular.otherwise(head))
 
-    Irregular forms by table; else -ies becomes y, -ied y, -ing and -ed go (a doubled consonant is undoubled, and after
-    s, v, c, z, u or g and a consonant the e comes back), and -es and -s go.
-    """
-    words = F.split(normal_predicate(col), "_")
-    helping = F.concat_ws("|", *[F.lit(a) for a in AUXILIARIES])
-    bare = F.regexp_replace(F.array_join(words, "_"), F.concat(F.lit("^((?:"), helping, F.lit(")_)+(?=.)")), F.lit(""))
-    head, rest = F.regexp_extract(bare, r"^([^_]*)", 1), F.regexp_replace(bare, r"^[^_]*", "")
-    irregular = F.try_element_at(F.create_map(*[F.lit(x) for pair in IRREGULAR.items() for x in pair]), head)
-    stem = F.regexp_replace(head, r"(?:ing|ed)$", "")
-    undoubled = F.when(stem.rlike(r"([bdgkmnprt])\1$"), F.regexp_replace(stem, r".$", "")).when(stem.rlike(r"(?:[svczu]|[^aeiou]g|[aeiou][dkmt]|rc)$") & ~stem.rlike(r"(?:ss|[aeiou][aeiou][dkmt]|sh|ow|et|it|er)$"), F.concat(stem, F.lit("e"))).otherwise(stem)
-    regular = (
-        F.when(head.rlike(r"[^aeiou]ie[sd]$"), F.regexp_replace(head, r"ie[sd]$", "y"))
-        .when(head.rlike(r"..(?:ing|ed)$"), undoubled)
-        .when(head.rlike(r"(?:s|x|z|ch|sh)es$"), F.regexp_replace(head, r"es$", ""))
-        .when(head.rlike(r"[^s]s$"), F.regexp_replace(head, r"s$", ""))
-        .otherwise(head)
-    )
-    return F.concat(F.coalesce(irregular, regular), rest)
+
+_ASCII_MARKS = r"!-/:-@\[-`{-~"
 
 
 def clean_object(col: Column) -> Column:
-    """An object without prepositions and articles before it and punctuation around it; null where only a pronoun or nothing is left."""
-    bare = F.regexp_replace(F.trim(F.regexp_replace(col, r"\s+", " ")), r"^[\"'“”(\[]+|[\"'“”)\].,;:!?]+$", "")
-    led = F.trim(F.regexp_replace(bare, rf"(?i)^(?:(?:{'|'.join(LEADING)})\s+)+", ""))
+    """An object without marks and blanks around it and articles and prepositions before it; null where nothing or only a word that is no object is left."""
+    bare = F.regexp_replace(col, rf"^[{_ASCII_MARKS}\s]+|[{_ASCII_MARKS}\s]+$", "")
+    led = F.regexp_replace(bare, rf"(?i)^(?:(?:{'|'.join(LEADING)})(?:\s+|$))+", "")
     return F.when((led != "") & ~F.lower(led).isin(*EMPTY), led)
 
 
 def light_only(predicate: Column, obj: Column) -> Column:
-    """Whether a statement is a light verb without an object that says anything."""
-    return predicate.isin(*LIGHT) & clean_object(obj).isNull()
+    """Whether a statement is a light verb with no object, or with one of which every word is none."""
+    words = F.filter(F.split(F.lower(F.coalesce(obj, F.lit(""))), r"\s+"), lambda w: w != "")
+    return predicate.isin(*LIGHT) & F.forall(words, lambda w: w.isin(*EMPTY))
 
 
 def negated(text: Column) -> Column:
@@ -69,8 +72,8 @@ def negated(text: Column) -> Column:
 
 
 def entity_ref(col: Column) -> Column:
-    """A name as a question mentions it: without marks around it and the possessive; null below two characters."""
-    bare = F.regexp_replace(F.regexp_replace(F.trim(col), r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", ""), r"['’]s$", "")
+    """A name as a question mentions it: without marks after it and the possessive; null below two characters."""
+    bare = F.trim(F.regexp_replace(F.regexp_replace(F.trim(col), r"[?.,!;:\"]+$", ""), r"(?:['’]s|['’])$", ""))
     return F.when(F.length(bare) >= 2, bare)
 
 
@@ -94,15 +97,23 @@ def dated_content(content: Column, phrase: Column, point: Column) -> Column:
     return F.when(phrase.isNotNull() & (phrase != "") & point.isNotNull(), F.replace(content, phrase, F.date_format(point, "yyyy-MM-dd"))).otherwise(content)
 
 
-# What is written with a full stop and doesn't end a sentence.
-ABBREVIATIONS = ("Mr", "Mrs", "Ms", "Dr", "Prof", "Sr", "Jr", "St", "vs", "etc", "Jan", "Feb", "Mar", "Apr", "Jun", "Jul", "Aug", "Sep", "Sept", "Oct", "Nov", "Dec", "Inc", "Ltd", "Co", "Corp")
+# Abbreviations that a sentence doesn't end after.
+ABBREVIATIONS = (
+    "Mr", "Mrs", "Ms", "Dr", "Prof", "Gen", "Col", "Lt", "Sgt", "Capt", "Cmdr", "Adm", "Maj", "Rep", "Sen", "Gov", "Pres", "Rev", "Hon", "St", "Mt", "Ft", "Sr", "Jr", "Jan", "Feb", "Mar", "Apr", "Jun", "Jul", "Aug", "Sep", "Sept", "Oct", "Nov", "Dec",
+    "No", "Nos", "vs", "Fig", "approx", "Vol", "pp", "Ave", "Blvd",
+)
 
 
-def sentences_kept_whole(col: Column) -> Column:
-    """Sentences split after . ! ? before white space, but not after a title, a month, a legal form or an initial; blanks trimmed, empty ones dropped."""
-    marked = F.regexp_replace(col, rf"(\b(?:{'|'.join(ABBREVIATIONS)}|\p{{Lu}}))\.(?=\s)", "$1\x01")
-    parts = F.split(marked, r"(?<=[.!?])\s+|\n+")
-    return F.filter(F.transform(parts, lambda s: F.trim(F.replace(s, F.lit("\x01"), F.lit(".")))), lambda s: s != "")
+def sentences_kept_whole(col: Column, least: int = 4) -> Column:
+    """Sentences of at least ``least`` words; the whole text where none is left and it has so many.
+
+    A sentence ends at . ! ? and closing marks before white space and what can begin another one, but not after an abbreviation, an initial or letters joined by stops.
+    """
+    marked = F.regexp_replace(col, rf"((?:^|[\s\"'(\[])(?:{'|'.join(ABBREVIATIONS)}|[A-Z]|[A-Za-z](?:\.[A-Za-z])+))\.([\"')\]”’]*\s)", "$1\x01$2")
+    parts = F.transform(F.split(marked, r"(?<=[.!?][\"')\]”’]{0,4})\s+(?=[\p{Lu}0-9\"'(\[“‘])"), lambda s: F.trim(F.replace(s, F.lit("\x01"), F.lit("."))))
+    enough = lambda s: F.size(F.filter(F.split(s, r"\s+"), lambda w: w != "")) >= least
+    kept = F.filter(parts, enough)
+    return F.when(F.size(kept) > 0, kept).when(enough(col), F.array(F.trim(col))).otherwise(F.array().cast("array<string>"))
 
 
 def precondition_holds(rule: Column, state: Column) -> Column:

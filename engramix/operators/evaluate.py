@@ -76,15 +76,13 @@ def contains_at(ranked: DataFrame, gold: DataFrame, query: str, content: str, an
 
 
 def moving_average(rows: DataFrame, per: str, at: str, tie: str, value: str, share: float) -> DataFrame:
-    """(per, ema): the exponential moving average after the last row of each group; it begins with the first value.
+    """(per, ema): the exponential moving average after the last row of each group; it begins at 0.
 
     A sum of weighted values, so rows are combined before the shuffle that adds them up; only their places are counted in order.
     """
-    w = W.partitionBy(per).orderBy(at, tie)
     back = W.partitionBy(per).orderBy(F.col(at).desc(), F.col(tie).desc())
-    placed = rows.withColumn("__i", F.row_number().over(w)).withColumn("__back", F.row_number().over(back) - 1)
-    weight = F.pow(F.lit(1 - share), F.col("__back")) * F.when(F.col("__i") == 1, 1.0).otherwise(share)
-    return placed.groupBy(per).agg(F.sum(F.col(value) * weight).alias("ema"))
+    placed = rows.withColumn("__back", F.row_number().over(back) - 1)
+    return placed.groupBy(per).agg(F.sum(F.col(value) * share * F.pow(F.lit(1 - share), F.col("__back"))).alias("ema"))
 
 
 def judged(reply: Column) -> Column:

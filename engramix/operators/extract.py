@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import operator
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +23,10 @@ ENTITY_RULES = (
 )
 
 
+#: What a text must hold for an entity of a kind to be in it.
+SIGNS = {"url": ("http",), "email": ("@",), "preference": ("prefer", "like", "love", "hate", "enjoy"), "quoted": ('"',)}
+
+
 def _typed(kind: str, confidence: float):
     return lambda x: F.struct(F.lit(kind).alias("entity_type"), F.trim(x).alias("surface"), F.lit(confidence).alias("confidence"))
 
@@ -33,10 +40,12 @@ def entities(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
     masked = F.col("t")
     for pattern, group, kind, confidence in ENTITY_RULES:
         source = masked if kind == "person" else F.col("t")
-        found = F.regexp_extract_all(source, F.lit(pattern), F.lit(group))
+        # A pattern only runs over texts that hold a sign of it; all others are left as they are.
+        may = reduce(operator.or_, [F.contains(F.lower("t"), F.lit(sign)) for sign in SIGNS[kind]]) if kind in SIGNS else F.col("t").rlike(r"\d") if kind in ("date", "measurement") else F.lit(True)
+        found = F.when(may, F.regexp_extract_all(source, F.lit(pattern), F.lit(group))).otherwise(F.array().cast("array<string>"))
         arms.append(F.transform(found, _typed(kind, confidence)))
         if kind != "person":
-            masked = F.regexp_replace(masked, pattern, " # ")
+            masked = F.when(may, F.regexp_replace(masked, pattern, " # ")).otherwise(masked)
     spread = rows.select(rows[id_col].alias("id"), rows[text_col].alias("t")).where("t is not null").select("id", F.explode(F.flatten(F.array(*arms))).alias("e")).select("id", "e.*")
     name = F.when(F.col("entity_type") == "person", canonical_name(F.col("surface"))).when(F.col("entity_type") == "url", F.col("surface")).otherwise(F.lower("surface"))
     return spread.withColumn("name", name).where("name <> ''").groupBy("id", "entity_type", "name").agg(F.min("surface").alias("surface"), F.max("confidence").alias("confidence"), F.count("*").alias("mentions")).withColumnRenamed("id", id_col)

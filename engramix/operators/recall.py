@@ -23,7 +23,7 @@ STOP = (
 # How many of each kind the first phase takes.
 COMPACT = {"fact": 20, "procedure": 10, "topic": 5}
 # Weights of relations when activation spreads.
-EDGE_WEIGHTS = {"ABOUT": 1.5, "SUPPORTED_BY": 1.2, "MENTIONS": 1.0, "OBSERVED_IN": 1.0, "HAS_CHUNK": 0.8, "NEXT": 0.5, "IN_SESSION": 0.3, "SENT_BY": 0.2}
+EDGE_WEIGHTS = {"ABOUT": 1.0, "MENTIONS": 1.0, "SUPPORTED_BY": 0.9, "OBSERVED_IN": 0.7, "HAS_CHUNK": 0.5, "IN_SESSION": 0.3, "RECORDED_BY": 0.3, "FOLLOWED_BY": 0.3}
 
 
 @dataclass(frozen=True)

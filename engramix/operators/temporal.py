@@ -41,36 +41,46 @@ def before(a: Column, b: Column) -> Column:
     return a["hi"] <= b["lo"]
 
 
-def overlap_join(left: DataFrame, right: DataFrame, keys: list[str], bucket_ms: int = 30 * DAY_MS, horizon_ms: int | None = None) -> DataFrame:
+def overlap_join(left: DataFrame, right: DataFrame, keys: list[str], bucket_ms: int = 30 * DAY_MS) -> DataFrame:
     """Pairs of rows with equal ``keys`` and overlapping half-open intervals lo, hi (milliseconds).
 
     Finite intervals are spread over time buckets and joined on key and bucket; a pair counts only in
-    the bucket of its later begin, so it comes once. An open end reaches to ``horizon_ms`` (default: the
-    greatest finite bound of either side). ``right`` columns, keys apart, get the suffix _r.
+    the bucket of its later begin, so it comes once. Intervals with an open end overlap all that end after their begin, and
+    are joined for themselves, so none is spread up to a horizon. ``right`` columns, keys apart, get the suffix _r.
     """
-    if horizon_ms is None:
-        tops = [df.agg(F.max(F.greatest("lo", F.when(F.col("hi") < LONG_MAX, F.col("hi")).otherwise(F.col("lo"))))).first()[0] for df in (left, right)]
-        horizon_ms = max((t for t in tops if t is not None), default=0) + 1
+    r = right.select(*[F.col(c) if c in keys else F.col(c).alias(f"{c}_r") for c in right.columns]).where("lo_r < hi_r")
+    a = left.where("lo < hi")
+    spread = lambda df, lo, hi: df.where(F.col(hi) < LONG_MAX).withColumn("__bucket", F.explode(F.sequence(F.floor(F.col(lo) / bucket_ms), F.floor((F.col(hi) - 1) / bucket_ms))))
+    once = F.col("__bucket") == F.floor(F.greatest("lo", "lo_r") / bucket_ms)
+    finite = spread(a, "lo", "hi").join(spread(r, "lo_r", "hi_r"), [*keys, "__bucket"]).where((F.col("lo") < F.col("hi_r")) & (F.col("lo_r") < F.col("hi")) & once).drop("__bucket")
+    open_left = a.where(F.col("hi") == LONG_MAX).join(r, keys).where("hi_r > lo")
+    open_right = a.where(F.col("hi") < LONG_MAX).join(r.where(F.col("hi_r") == LONG_MAX), keys).where("hi > lo_r")
+    return finite.unionByName(open_left).unionByName(open_right)
 
-    def spread(df: DataFrame) -> DataFrame:
-        last = F.least(F.col("hi") - 1, F.lit(horizon_ms))
-        return df.where("lo < hi").withColumn("__bucket", F.explode(F.sequence(F.floor(F.col("lo") / bucket_ms), F.floor(F.greatest(last, F.col("lo")) / bucket_ms))))
 
-    renamed = right.select(*[F.col(c) if c in keys else F.col(c).alias(f"{c}_r") for c in right.columns])
-    r = renamed.where("lo_r < hi_r").withColumn("__bucket", F.explode(F.sequence(F.floor(F.col("lo_r") / bucket_ms), F.floor(F.greatest(F.least(F.col("hi_r") - 1, F.lit(horizon_ms)), F.col("lo_r")) / bucket_ms))))
-    joined = spread(left).join(r, [*keys, "__bucket"])
-    once = F.col("__bucket") == F.floor(F.greatest("lo", "lo_r") / bucket_ms)
-    return joined.where((F.col("lo") < F.col("hi_r")) & (F.col("lo_r") < F.col("hi")) & once).drop("__bucket")
+def with_previous(rows: DataFrame, per: list[str], ts: str, tie: str) -> DataFrame:
+    """``rows`` with ``__prev``, struct (at, tie) of the row before in its group by (ts, tie), null for the first; null times come first.
+
+    Rows are sorted within days; the first of a day gets the last of the days before, of which there is one row each, so a group
+    that holds a third of all rows is spread over its days.
+    """
+    dated = rows.withColumn("__day", F.to_date(ts)).withColumn("__me", F.struct(F.col(ts).alias("at"), F.col(tie).alias("tie")))
+    order = W.partitionBy(*per).orderBy(F.col("__day").asc_nulls_first()).rowsBetween(W.unboundedPreceding, -1)
+    days = dated.groupBy(*per, "__day").agg(F.max("__me").alias("__last")).withColumn("__before", F.last("__last").over(order)).drop("__last")
+    renamed = days.select(*[F.col(c).alias(f"__p{i}") for i, c in enumerate(per)], F.col("__day").alias("__d"), "__before")
+    on = F.col("__day").eqNullSafe(F.col("__d"))
+    for i, c in enumerate(per):
+        on = on & F.col(c).eqNullSafe(F.col(f"__p{i}"))
+    within = W.partitionBy(*per, "__day").orderBy(F.col(ts).asc_nulls_first(), tie)
+    return dated.withColumn("__lag", F.lag("__me").over(within)).join(renamed, on).select(*rows.columns, F.coalesce("__lag", "__before").alias("__prev"))
 
 
 def chain(rows: DataFrame, per: list[str], ts: str, tie: str, max_gap_ms: int | None = None) -> DataFrame:
     """(per, src, dst, gap_ms): each row with the one before it; gaps are at least 0, longer ones than ``max_gap_ms`` break the chain."""
-    w = W.partitionBy(*per).orderBy(ts, tie)
-    linked = rows.withColumn("src", F.lag(tie).over(w)).withColumn("gap_ms", F.greatest(F.lit(0), millis(F.col(ts)) - F.lag(millis(F.col(ts))).over(w)))
-    linked = linked.where("src is not null")
-    if max_gap_ms is not None:
-        linked = linked.where(F.col("gap_ms") <= max_gap_ms)
-    return linked.select(*per, "src", F.col(tie).alias("dst"), "gap_ms")
+    linked = with_previous(rows, per, ts, tie).where("__prev is not null")
+    gap = F.greatest(F.lit(0), millis(F.col(ts)) - millis(F.col("__prev.at")))
+    linked = linked.select(*per, F.col("__prev.tie").alias("src"), F.col(tie).alias("dst"), gap.alias("gap_ms"))
+    return linked if max_gap_ms is None else linked.where(F.col("gap_ms") <= max_gap_ms)
 
 
 def positions(rows: DataFrame, per: list[str], ts: str, tie: str) -> DataFrame:
@@ -93,15 +103,23 @@ def positions(rows: DataFrame, per: list[str], ts: str, tie: str) -> DataFrame:
 def as_of(left: DataFrame, right: DataFrame, keys: list[str], left_ts: str, right_ts: str, value: str, tolerance_ms: int | None = None) -> DataFrame:
     """``left`` with the last ``value`` of ``right`` at or before its time, within the tolerance, else null.
 
-    Both sides are stacked and scanned once in order of time per key; no pairs are formed.
+    Both sides are stacked and scanned in order of time; no pairs are formed. Days of a key are scanned for themselves and get the last value of
+    the days before, of which there is one row each, so a hot key is spread over its days.
     """
     a = left.withColumn("__t", F.col(left_ts)).withColumn("__side", F.lit(1)).withColumn("__v", F.lit(None).cast(right.schema[value].dataType)).withColumn("__vt", F.lit(None).cast(left.schema[left_ts].dataType))
     b = right.select(*keys, F.col(right_ts).alias("__t"), F.lit(0).alias("__side"), F.col(value).alias("__v"), F.col(right_ts).alias("__vt"))
-    both = a.unionByName(b, allowMissingColumns=True)
-    w = W.partitionBy(*keys).orderBy("__t", "__side").rowsBetween(W.unboundedPreceding, W.currentRow)
-    seen = both.withColumn("__last", F.last(F.when(F.col("__side") == 0, F.struct("__v", "__vt")), ignorenulls=True).over(w)).where("__side = 1")
-    near = F.lit(True) if tolerance_ms is None else (millis(F.col("__t")) - millis(F.col("__last.__vt"))) <= tolerance_ms
-    return seen.withColumn(f"{value}_asof", F.when(near, F.col("__last.__v"))).drop("__t", "__side", "__v", "__vt", "__last")
+    both = a.unionByName(b, allowMissingColumns=True).withColumn("__day", F.to_date("__t")).withColumn("__held", F.when(F.col("__side") == 0, F.struct("__vt", "__v")))
+    before = W.partitionBy(*keys).orderBy("__day").rowsBetween(W.unboundedPreceding, -1)
+    days = both.groupBy(*keys, "__day").agg(F.max("__held").alias("__last")).withColumn("__carried", F.last("__last", ignorenulls=True).over(before)).drop("__last")
+    renamed = days.select(*[F.col(c).alias(f"__k{i}") for i, c in enumerate(keys)], F.col("__day").alias("__d"), "__carried")
+    on = F.col("__day").eqNullSafe(F.col("__d"))
+    for i, c in enumerate(keys):
+        on = on & F.col(c).eqNullSafe(F.col(f"__k{i}"))
+    w = W.partitionBy(*keys, "__day").orderBy("__t", "__side").rowsBetween(W.unboundedPreceding, W.currentRow)
+    seen = both.withColumn("__own", F.last("__held", ignorenulls=True).over(w)).where("__side = 1").join(renamed, on)
+    last = F.coalesce("__own", "__carried")
+    near = F.lit(True) if tolerance_ms is None else (millis(F.col("__t")) - millis(last["__vt"])) <= tolerance_ms
+    return seen.withColumn(f"{value}_asof", F.when(near, last["__v"])).select(*left.columns, f"{value}_asof")
 
 
 def decayed(importance: Column, at: Column, now: Column, half_life_days: float) -> Column:
@@ -117,10 +135,17 @@ def rolling_count(rows: DataFrame, per: list[str], ts: str, days: int) -> DataFr
 
 
 def sessions_by_gap(rows: DataFrame, per: list[str], ts: str, tie: str, gap_ms: int) -> DataFrame:
-    """``rows`` with ``part``, one more after each gap above ``gap_ms``."""
-    w = W.partitionBy(*per).orderBy(ts, tie)
-    opens = F.when(millis(F.col(ts)) - F.lag(millis(F.col(ts))).over(w) > gap_ms, 1).otherwise(0)
-    return rows.withColumn("__opens", opens).withColumn("part", F.sum("__opens").over(w) + 1).drop("__opens")
+    """``rows`` with ``part``, one more after each gap above ``gap_ms``; parts are counted within days, and those of the days before added."""
+    marked = with_previous(rows, per, ts, tie)
+    marked = marked.withColumn("__opens", F.when(millis(F.col(ts)) - millis(F.col("__prev.at")) > gap_ms, 1).otherwise(0)).withColumn("__day", F.to_date(ts))
+    before = W.partitionBy(*per).orderBy(F.col("__day").asc_nulls_first()).rowsBetween(W.unboundedPreceding, -1)
+    days = marked.groupBy(*per, "__day").agg(F.sum("__opens").alias("__n")).withColumn("__base", F.coalesce(F.sum("__n").over(before), F.lit(0)))
+    renamed = days.select(*[F.col(c).alias(f"__q{i}") for i, c in enumerate(per)], F.col("__day").alias("__d"), "__base")
+    on = F.col("__day").eqNullSafe(F.col("__d"))
+    for i, c in enumerate(per):
+        on = on & F.col(c).eqNullSafe(F.col(f"__q{i}"))
+    upto = F.sum("__opens").over(W.partitionBy(*per, "__day").orderBy(F.col(ts).asc_nulls_first(), tie))
+    return marked.withColumn("__upto", upto).join(renamed, on).select(*rows.columns, (F.col("__base") + F.col("__upto") + 1).alias("part"))
 
 
 # Numbers in words, days of the week and months.

@@ -10,11 +10,11 @@ from engramix.sources.tables import read
 
 
 def recall_cascade(spark, folder):
-    """Eval questions answered from message views and facts, as seen by one participant."""
-    views = read(spark, folder, "message_views", "view_id", "content", "visibility").select(F.col("view_id").alias("nid"), F.lit("message").alias("label"), "content", "visibility").where("content is not null")
-    facts = read(spark, folder, "fact_upserts", "upsert_id", "subject", "predicate", "object", "visibility").select((F.col("upsert_id") + 1_000_000_000).alias("nid"), F.lit("fact").alias("label"), F.concat_ws(" ", "subject", "predicate", "object").alias("content"), "visibility")
-    questions = spark.createDataFrame([(1, "Who manages the room booking of the budget sheet?"), (2, "What did Tarek Labiston report about harbour maps?")], "query_id long, query string")
-    found = R.recall(views.unionByName(facts), questions, R.Settings(limit=10, budget=400), viewer=Viewer("user-005", ["t1", "t3"]))
+    """Every view that asks something and whose id is divisible by 20, answered from all views and facts, as seen by one participant."""
+    from engramix.plans.recalls import facts, questions, views
+
+    items = views(spark, folder).drop("session_id").unionByName(facts(spark, folder), allowMissingColumns=True)
+    found = R.recall(items, questions(spark, folder), R.Settings(limit=10, budget=400), viewer=Viewer("user-005", ["t1", "t3"]))
     return found.select("query_id", "nid", "label", "tokens", F.round("score", 6).alias("score"))
 
 

@@ -298,16 +298,17 @@ SQL = {
     "evidence_found": f"""WITH qt AS (SELECT DISTINCT item_id AS query, unnest({_SPLIT.format('question')}) AS term FROM eval_items), {_bm25('pb', 'eval_items', 'item_id', 'passage', 'qt')}, k AS (SELECT query, doc, row_number() OVER (PARTITION BY query ORDER BY round(score, 9) DESC, doc) AS rank FROM pb QUALIFY rank <= 5),
         g AS (SELECT item_id, array_to_string({_ANSWER.format('answer')}, ' ') AS a FROM eval_items WHERE answer IS NOT NULL), h AS (SELECT query, min(rank) AS rank FROM k JOIN g ON item_id = query JOIN eval_items e ON e.item_id = doc WHERE a <> '' AND contains(' ' || array_to_string({_ANSWER.format('passage')}, ' ') || ' ', a) GROUP BY 1)
         SELECT item_id, coalesce(rank <= 1, false) AS at_1, coalesce(rank <= 5, false) AS at_5 FROM g LEFT JOIN h ON item_id = query""",
-    "smoothed_values": """WITH k AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) - 1 AS back, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events WHERE value IS NOT NULL)
-        SELECT user_id, round(sum(value * power(0.9, back) * CASE WHEN i = 1 THEN 1.0 ELSE 0.1 END), 6) AS ema FROM k GROUP BY 1""",
+    "smoothed_values": """WITH k AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) - 1 AS back FROM events WHERE value IS NOT NULL)
+        SELECT user_id, round(sum(value * 0.1 * power(0.9, back)), 6) AS ema FROM k GROUP BY 1""",
     "predicate_lemmas": r"""WITH p AS (SELECT regexp_replace(trim(lower(predicate), ' '), '[\s_\-]+', '_', 'g') AS predicate FROM fact_upserts WHERE predicate IS NOT NULL)
-        SELECT predicate, CASE predicate WHEN 'moved_to' THEN 'move_to' WHEN 'reported' THEN 'report' WHEN 'is_part_of' THEN 'part_of' WHEN 'manages' THEN 'manage' WHEN 'supplies' THEN 'supply' WHEN 'researches' THEN 'research' WHEN 'met_with' THEN 'meet_with' WHEN 'prefers' THEN 'prefer' WHEN 'works_at' THEN 'work_at' WHEN 'owns' THEN 'own' END AS lemma, count(*) AS facts FROM p GROUP BY 1, 2""",
-    "clean_objects": rf"""WITH o AS (SELECT upsert_id, trim(regexp_replace(regexp_replace(trim(regexp_replace(object, '[\s\x{{0B}}]+', ' ', 'g'), ' '), '^["''“”(\[]+|["''“”)\].,;:!?]+$', '', 'g'), '(?i)^(?:(?:{'|'.join(L.LEADING)})\s+)+', ''), ' ') AS led,
-          regexp_replace(regexp_replace(trim(object, ' '), '^[^\p{{L}}\p{{N}}]+|[^\p{{L}}\p{{N}}]+$', '', 'g'), '[''’]s$', '') AS bare FROM fact_upserts WHERE object IS NOT NULL)
+        SELECT predicate, CASE predicate WHEN 'reported' THEN 'report' WHEN 'is_part_of' THEN 'part_of' WHEN 'manages' THEN 'manage' WHEN 'supplies' THEN 'supply' WHEN 'researches' THEN 'research' WHEN 'prefers' THEN 'prefer' WHEN 'owns' THEN 'own' ELSE predicate END AS lemma, count(*) AS facts FROM p GROUP BY 1, 2""",
+    "clean_objects": rf"""WITH o AS (SELECT upsert_id, regexp_replace(regexp_replace(object, '^[!-/:-@\[-`{{-~\s\x{{0B}}]+|[!-/:-@\[-`{{-~\s\x{{0B}}]+$', '', 'g'), '(?i)^(?:(?:{'|'.join(L.LEADING)})(?:[\s\x{{0B}}]+|$))+', '') AS led,
+          trim(regexp_replace(regexp_replace(trim(object, ' '), '[?.,!;:"]+$', ''), '(?:[''’]s|[''’])$', ''), ' ') AS bare FROM fact_upserts WHERE object IS NOT NULL)
         SELECT upsert_id, CASE WHEN led <> '' AND lower(led) NOT IN ({', '.join(f"'{w}'" for w in L.EMPTY)}) THEN led END AS object, CASE WHEN length(bare) >= 2 THEN bare END AS ref FROM o""",
     "negated_messages": r"""SELECT regexp_matches(lower(replace(content, '’', '''')), '(?:^|[^\p{L}''])(?:not|never|no|nor)(?:$|[^\p{L}''])|n''t(?:$|[^\p{L}])') AS negated, count(*) AS messages FROM ingest_messages WHERE content IS NOT NULL GROUP BY 1""",
     "embedding_texts": """SELECT upsert_id, coalesce('[' || strftime(observed_at, '%B %Y') || '] ', '') || CASE WHEN object IS NOT NULL THEN concat_ws(' ', subject, replace(lower(predicate), '_', ' '), object) ELSE 'nothing' END AS text FROM fact_upserts""",
-    "whole_sentences": rf"""WITH s AS (SELECT item_id, list_filter(list_transform(regexp_split_to_array(regexp_replace(regexp_replace(regexp_replace(passage, '(\b(?:{'|'.join(L.ABBREVIATIONS)}|\p{{Lu}}))\.(\s)', '\1' || chr(1) || '\2', 'g'), '([.!?])\s+', '\1' || chr(2), 'g'), '\n+', chr(2), 'g'), chr(2)), lambda x: trim(replace(x, chr(1), '.'), ' ')), lambda x: x <> '') AS s FROM eval_items WHERE passage IS NOT NULL)
+    "whole_sentences": rf"""WITH s AS (SELECT item_id, list_filter(list_transform(regexp_split_to_array(regexp_replace(regexp_replace(passage, '((?:^|[\s"''(\[])(?:{'|'.join(L.ABBREVIATIONS)}|[A-Z]|[A-Za-z](?:\.[A-Za-z])+))\.(["'')\]”’]*\s)', '\1' || chr(1) || '\2', 'g'), '([.!?]["'')\]”’]*)\s+([\p{{Lu}}0-9"''(\[“‘])', '\1' || chr(2) || '\2', 'g'), chr(2)),
+          lambda x: trim(replace(x, chr(1), '.'), ' ')), lambda x: len(list_filter(regexp_split_to_array(x, '\s+'), lambda w: w <> '')) >= 4) AS s FROM eval_items WHERE passage IS NOT NULL)
         SELECT item_id, len(s)::INT AS sentences, length(s[1])::INT AS first_chars FROM s""",
     "preconditions_met": "SELECT count(*) FILTER (metadata['client'] = 'cli') AS cli, 0::BIGINT AS odd, count(*) AS any FROM ingest_messages WHERE metadata IS NOT NULL",
 }

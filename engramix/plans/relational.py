@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from engramix.functions.ids import canonical_message_id
 from engramix.operators import graph, mutate, temporal
@@ -33,7 +32,7 @@ def session_transcript(spark, folder):
     """Public messages of all sessions with the sender's name and their place."""
     m = read(spark, folder, "ingest_messages", "delivery_id", "session_id", "sender_id", "msg_timestamp", "visibility").where("session_id is not null and (visibility is null or visibility in ('', 'public'))")
     p = read(spark, folder, "participants", "participant_id", "display_name").groupBy("participant_id").agg(F.max("display_name").alias("speaker"))
-    placed = m.join(p, F.col("sender_id") == F.col("participant_id"), "left").withColumn("position", F.row_number().over(W.partitionBy("session_id").orderBy("msg_timestamp", "delivery_id")))
+    placed = temporal.positions(m, ["session_id"], "msg_timestamp", "delivery_id").join(p, F.col("sender_id") == F.col("participant_id"), "left")
     return placed.select("session_id", "position", "delivery_id", F.coalesce("speaker", "sender_id", F.lit("")).alias("speaker"))
 
 

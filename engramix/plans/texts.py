@@ -31,8 +31,8 @@ def answer_types(spark, folder):
 
 
 def search_texts(spark, folder):
-    """Search tokens of tool results: identifiers whole and in parts."""
-    m = read(spark, folder, "ingest_messages", "delivery_id", "content", "content_type").where("content_type = 'tool_result'")
+    """Search tokens of all messages: identifiers whole and in parts."""
+    m = read(spark, folder, "ingest_messages", "delivery_id", "content").where("content is not null")
     return m.select("delivery_id", T.search_text(F.col("content")).alias("search_text"))
 
 
@@ -60,7 +60,7 @@ def rule_observations(spark, folder):
 
 
 def question_literals(spark, folder):
-    m = read(spark, folder, "ingest_messages", "delivery_id", "content").where("content like '%?'")
+    m = read(spark, folder, "ingest_messages", "delivery_id", "content").where("content is not null")
     return m.select("delivery_id", F.array_join(extract.literals(F.col("content")), "|").alias("literals")).where("literals <> ''")
 
 
@@ -119,4 +119,7 @@ SQL = {
         b AS (SELECT query, doc, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))) AS score FROM h JOIN q USING (term) JOIN df USING (term) JOIN dl USING (doc), s GROUP BY 1, 2),
         r AS (SELECT query, doc, row_number() OVER (PARTITION BY query ORDER BY round(score, 9) DESC, doc) AS k FROM b QUALIFY k <= 10), m AS (SELECT item_id, question_type, min(k) AS k FROM eval_items LEFT JOIN r ON query = item_id AND doc = item_id GROUP BY 1, 2)
         SELECT question_type, count(*) AS n, round(avg(CASE WHEN k IS NULL THEN 0.0 ELSE 1.0 END), 6) AS recall, round(avg(coalesce(1 / log2(k + 1), 0)), 6) AS ndcg, round(avg(coalesce(1.0 / k, 0)), 6) AS mrr, round(avg(CASE WHEN k IS NULL THEN 0.0 ELSE 1.0 END), 6) AS hit FROM m GROUP BY ROLLUP (question_type)""",
+    "label_neighbours": """WITH g AS (SELECT vec_id, label, embedding, sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))) AS n FROM embeddings),
+        s AS (SELECT a.vec_id AS query, b.vec_id AS id, a.label = b.label AS same, list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda x: x[1]::DOUBLE * x[2]::DOUBLE)) / (a.n * b.n) AS score FROM g a, g b WHERE a.vec_id % 20 = 0),
+        k AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY query ORDER BY round(score, 9) DESC, id) <= 6) SELECT query, round(avg(CASE WHEN same THEN 1.0 ELSE 0.0 END), 6) AS same_label FROM k WHERE query <> id GROUP BY 1""",
 }

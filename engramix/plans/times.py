@@ -69,7 +69,26 @@ def phrase_points(spark, folder):
     return joined.select("delivery_id", "phrase_no", r.alias("r")).where("r is not null").select("delivery_id", "phrase_no", F.col("r.point").alias("point"), F.col("r.granularity").alias("granularity"))
 
 
-QUERIES = {f.__name__: f for f in (interval_contains, interval_overlap, relevance_decay, rolling_errors, activity_sessions, tumbling_counts, phrase_points)}
+def message_phrases(spark, folder):
+    """The first time phrase of every message, resolved against its own time: its window, by granularity and day."""
+    m = read(spark, folder, "ingest_messages", "content", "msg_timestamp").where("content is not null and msg_timestamp is not null")
+    r = m.select(T.resolve_phrase(F.col("content"), F.col("msg_timestamp")).alias("r")).where("r is not null")
+    lo, hi = T.phrase_window(F.col("r.point"), F.col("r.granularity"))
+    return r.select(F.col("r.granularity").alias("granularity"), lo.cast("timestamp_ntz").alias("since"), hi.cast("timestamp_ntz").alias("until")).groupBy("granularity", "since", "until").agg(F.count("*").alias("messages"))
+
+
+def interval_states(spark, folder):
+    """Orders of customers before, overlapping or after the middle of 1998, and how certain their begins are."""
+    i = _order_intervals(spark, folder)
+    window = F.struct(T.millis(F.to_timestamp_ntz(F.lit("1998-03-01 00:00:00"))).alias("lo"), T.millis(F.to_timestamp_ntz(F.lit("1998-09-01 00:00:00"))).alias("hi"))
+    own = F.struct("lo", "hi")
+    state = F.when(T.before(own, window), "before").when(T.overlaps(own, window), "overlaps").otherwise("after")
+    counted = i.groupBy("o_custkey").agg(F.count("*").alias("n"))
+    opened = T.upgraded(F.struct("lo", "hi", F.lit("day").alias("lo_granularity"), F.lit("approximate").alias("lo_certainty")), F.col("n"), 12)
+    return i.join(counted, "o_custkey").groupBy(state.alias("state"), opened["lo_certainty"].alias("certainty")).agg(F.count("*").alias("orders"))
+
+
+QUERIES = {f.__name__: f for f in (message_phrases, interval_states, interval_contains, interval_overlap, relevance_decay, rolling_errors, activity_sessions, tumbling_counts, phrase_points)}
 
 _MS = "(epoch_us({0}) // 1000)"
 _INTERVALS = f"i AS (SELECT o_orderkey, o_custkey, {_MS.format('o_orderdate')} AS lo, coalesce(lead({_MS.format('o_orderdate')}) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey), 9223372036854775807) AS hi FROM orders)"
@@ -92,4 +111,6 @@ SQL = {
           {'n': 12, 'p': make_date(year(t) - CASE WHEN month(t) > 5 THEN 0 ELSE 1 END, 5, 1)::TIMESTAMP + (t - date_trunc('day', t)), 'g': 'month'}, {'n': 13, 'p': make_date(year(t) - CASE WHEN month(t) > 12 THEN 0 ELSE 1 END, 12, 1)::TIMESTAMP + (t - date_trunc('day', t)), 'g': 'month'},
           {'n': 16, 'p': t - INTERVAL 300 DAY, 'g': 'month'}, {'n': 17, 'p': t - INTERVAL 1 YEAR, 'g': 'year'}]) AS x FROM m)
         SELECT delivery_id, x.n::INT AS phrase_no, x.p::TIMESTAMP AS point, x.g AS granularity FROM r""",
+    "interval_states": f"""WITH {_INTERVALS}, c AS (SELECT o_custkey, count(*) AS n FROM i GROUP BY 1) SELECT CASE WHEN hi <= {_MS.format("TIMESTAMP '1998-03-01'")} THEN 'before' WHEN lo < {_MS.format("TIMESTAMP '1998-09-01'")} AND {_MS.format("TIMESTAMP '1998-03-01'")} < hi THEN 'overlaps' ELSE 'after' END AS state,
+        CASE WHEN n >= 12 THEN 'definite' ELSE 'approximate' END AS certainty, count(*) AS orders FROM i JOIN c USING (o_custkey) GROUP BY 1, 2""",
 }

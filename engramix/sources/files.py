@@ -7,15 +7,19 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+# The date of a session that has none.
+NO_DATE = "2023-01-01"
+
+
 def conversations(spark: SparkSession, path: str) -> DataFrame:
     """(sample_id, session_no, session_at, turn_no, speaker, dia_id, text) of conversation files with keys session_N and session_N_date_time.
 
-    The keys differ by file, so each file is parsed as a variant map; a session without a date has a null one.
+    The keys differ by file, so each file is parsed as a map of texts; a session without a date counts as of NO_DATE.
     """
     turn = T.ArrayType(T.StructType([T.StructField(n, T.StringType()) for n in ("speaker", "dia_id", "text", "blip_caption")]))
     raw = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", T.ArrayType(T.StructType([T.StructField("sample_id", T.StringType()), T.StructField("conversation", T.MapType(T.StringType(), T.StringType()))])))).alias("s"))
     entry = raw.select("s.sample_id", F.explode("s.conversation").alias("k", "v"), F.col("s.conversation").alias("all"))
-    sessions = entry.where(F.col("k").rlike(r"^session_\d+$")).select("sample_id", F.regexp_extract("k", r"(\d+)", 1).cast("int").alias("session_no"), F.try_element_at("all", F.concat("k", F.lit("_date_time"))).alias("session_at"), F.posexplode(F.from_json("v", turn)).alias("turn_no", "t"))
+    sessions = entry.where(F.col("k").rlike(r"^session_\d+$")).select("sample_id", F.regexp_extract("k", r"(\d+)", 1).cast("int").alias("session_no"), F.coalesce(F.try_element_at("all", F.concat("k", F.lit("_date_time"))), F.lit(NO_DATE)).alias("session_at"), F.posexplode(F.from_json("v", turn)).alias("turn_no", "t"))
     return sessions.select("sample_id", "session_no", "session_at", "turn_no", "t.speaker", "t.dia_id", F.concat_ws(" ", "t.text", "t.blip_caption").alias("text"))
 
 
@@ -56,3 +60,27 @@ def get_blobs(spark: SparkSession, folder: str, ids: DataFrame, id_col: str = "c
 
 def files_as_blobs(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select(F.col("path"), F.col("content").alias("bytes"), F.col("length").alias("size"))
+
+
+def evidence_texts(turns: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(question_id, texts): what the turns (dia_id, text) say that a question's ``evidence`` (array of dia_ids) names, in its order; unknown ids add nothing."""
+    named = wanted.select("question_id", F.posexplode("evidence").alias("place", "dia_id"))
+    found = named.join(turns.select("dia_id", "text").dropDuplicates(["dia_id"]), "dia_id")
+    listed = found.groupBy("question_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "text"))), lambda x: x["text"]).alias("texts"))
+    return wanted.select("question_id").join(listed, "question_id", "left").select("question_id", F.coalesce("texts", F.array().cast("array<string>")).alias("texts"))
+
+
+def write_report(summary: DataFrame, details: DataFrame, path: str) -> None:
+    """A report as two JSON tables: one of the summary, one of all details."""
+    summary.coalesce(1).write.mode("overwrite").json(f"{path}/summary")
+    details.write.mode("overwrite").json(f"{path}/details")
+
+
+def blob_store(kind: str, folder: str | None = None):
+    """(put, get) of a kind of storage: 'inline' keeps bytes in the table, 'files' in a folder of any file system that Spark can write."""
+    if kind == "inline":
+        put = lambda blobs, column="bytes": blobs.where(F.col(column).isNotNull()).select(F.sha2(column, 256).alias("content_id"), F.col(column).alias("bytes")).dropDuplicates(["content_id"])
+        return put, lambda table, ids: table.join(ids.select("content_id").distinct(), "content_id", "left_semi").select("content_id", "bytes")
+    if kind == "files" and folder:
+        return lambda blobs, column="bytes": put_blobs(blobs, folder, column), lambda spark, ids: get_blobs(spark, folder, ids)
+    raise ValueError(f"unknown storage: {kind}")

@@ -94,25 +94,25 @@ class Health:
 
     stalled_after: float = 300.0
     clock: Callable[[], float] = time.monotonic
-    latency_ms: float | None = None
+    latency_ms: float = 0.0
     last: float | None = None
     done: int = 0
     failed: int = 0
 
     def success(self, latency_ms: float) -> None:
-        self.latency_ms = latency_ms if self.latency_ms is None else 0.1 * latency_ms + 0.9 * self.latency_ms
+        self.latency_ms = 0.1 * latency_ms + 0.9 * self.latency_ms
         self.last, self.done = self.clock(), self.done + 1
 
     def failure(self) -> None:
         self.failed += 1
 
     def status(self, waiting: int, capacity: int, breaker: CircuitBreaker | None = None) -> str:
-        """stalled, backpressured, degraded or healthy, the first that holds."""
+        """degraded (the breaker is open), stalled, backpressured or healthy, the first that holds."""
+        if breaker is not None and breaker.state == "open":
+            return "degraded"
         if waiting and self.last is not None and self.clock() - self.last > self.stalled_after:
             return "stalled"
-        if capacity and waiting >= 0.8 * capacity:
-            return "backpressured"
-        return "degraded" if breaker is not None and breaker.state != "closed" else "healthy"
+        return "backpressured" if capacity and waiting > 0.8 * capacity else "healthy"
 
 
 @dataclass

@@ -108,7 +108,7 @@ def test_control():
     h = control.Health(300, clock)
     h.success(100)
     h.success(200)
-    assert h.latency_ms == pytest.approx(110) and h.status(0, 10) == "healthy" and h.status(9, 10) == "backpressured"
+    assert h.latency_ms == pytest.approx(29) and h.status(0, 10) == "healthy" and h.status(9, 10) == "backpressured"
     now[0] = 1000
     assert h.status(1, 10) == "stalled"
     sweeps = control.Sweeps({"topics": 2, "rules": 3}, 900, clock)
@@ -137,14 +137,15 @@ def test_addresses_and_outlines(spark):
 
 
 def test_words_of_statements(spark):
-    got = {w: one(spark, L.lemma(F.lit(w))) for w in ("is_running", "studied", "lives_in", "wrote", "planning", "stopped", "watches", "has been_moved", "making", "used", "travelled")}
-    assert got == {"is_running": "run", "studied": "study", "lives_in": "live_in", "wrote": "write", "planning": "plan", "stopped": "stop", "watches": "watch", "has been_moved": "move", "making": "make", "used": "use", "travelled": "travell"}
-    assert one(spark, L.clean_object(F.lit(" in the old  house. "))) == "old house" and one(spark, L.clean_object(F.lit("to it"))) is None
+    got = {w: one(spark, L.lemma(F.lit(w))) for w in ("got", "is_starting", "has_been_doing", "Researches", "painted", "planning", "studies", "passes", "is", "moved_to")}
+    assert got == {"got": "get", "is_starting": "start", "has_been_doing": "do", "Researches": "research", "painted": "paint", "planning": "plan", "studies": "study", "passes": "pass", "is": "be", "moved_to": "moved_to"}
+    assert one(spark, L.clean_object(F.lit(" in the old house. "))) == "old house" and one(spark, L.clean_object(F.lit("yesterday!"))) is None and one(spark, L.clean_object(F.lit("to it"))) is None
     assert one(spark, L.light_only(F.lit("do"), F.lit("it"))) and not one(spark, L.light_only(F.lit("do"), F.lit("dishes")))
     assert [one(spark, L.negated(F.lit(t))) for t in ("He doesn’t know", "Notes are here", "No way", None)] == [True, False, True, False]
-    assert one(spark, L.entity_ref(F.lit("“Ann's”"))) == "Ann" and one(spark, L.entity_ref(F.lit("A."))) is None
+    assert one(spark, L.entity_ref(F.lit("Ann's?"))) == "Ann" and one(spark, L.entity_ref(F.lit("A."))) is None
     assert one(spark, L.render("{a} likes {b} {c}", a=F.lit("Ann"), b=F.lit(None).cast("string"))) == "Ann likes"
-    assert one(spark, L.sentences_kept_whole(F.lit("Dr. Berg met J. Doe. Then he left."))) == ["Dr. Berg met J. Doe.", "Then he left."]
+    assert one(spark, L.sentences_kept_whole(F.lit("Dr. Berg met J. Doe of the U.S. Navy. Then they left at once. Fine."))) == ["Dr. Berg met J. Doe of the U.S. Navy.", "Then they left at once."]
+    assert one(spark, L.sentences_kept_whole(F.lit("Yes! Fine. We agree."))) == ["Yes! Fine. We agree."] and one(spark, L.sentences_kept_whole(F.lit("Too short."))) == []
     state = F.create_map(F.lit("k"), F.lit("v=1"))
     assert [one(spark, L.precondition_holds(F.lit(r), state)) for r in ("k=v=1", "", "k", "k=v=1, x=1", None)] == [True, True, False, False, True]
     acts, p = F.array(F.lit("greet"), F.lit("inform")), lambda a, b: F.array(F.lit(a), F.lit(b))
