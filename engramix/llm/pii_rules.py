@@ -73,6 +73,11 @@ SEEDS = (
 )
 
 
+def has_numbers(text: str) -> bool:
+    """Whether a number of any kind may be in a text."""
+    return _SIX_DIGITS.search(text) is not None or _SPOKEN_RUN.search(text) is not None
+
+
 def shape(text: str) -> str:
     """Digits as 0 and letters as a or A, other characters as they are."""
     return "".join("0" if c.isdigit() else "A" if c.isupper() else "a" if c.isalpha() else c for c in text)
@@ -93,11 +98,11 @@ def number_features(text: str, start: int, end: int) -> list[str]:
     return [f"s={s}", f"s2={s}{digits[:2]}", f"n={len(digits)}", f"n2={len(digits)}{digits[:2]}"] + [f"b={w}" for w in before] + [f"a={w}" for w in after] + [f"b1={w}" for w in before[-1:]]
 
 
-def seed_of(text: str, start: int, end: int) -> int | None:
-    """Label of a number for training, where a word before it settles its kind."""
+def seed_of(text: str, start: int, end: int, least: int = 0) -> int | None:
+    """Label of a number for training, where a word before it settles its kind; one before ``least``, where another number ends, belongs to that."""
     if text[start] == "+":
         return PHONE
-    near = {part for w in _before(text, start, 32)[-3:] for part in w.split("/")}
+    near = {part for w in _before(text, start, min(32, start - least))[-3:] for part in w.split("/")}
     return next((label for label, words in SEEDS if near & words), None)
 
 
@@ -352,14 +357,11 @@ def infer(nodes: Nodes, model: Model, rounds: int = 6, skips: bool = True) -> np
     return total.argmax(1)
 
 
-def fit_links(nodes: Nodes, known: dict[int, bool], model: Model, rounds: int = 40, rate: float = 0.02, hold: float = 25.0) -> tuple[float, float, float]:
-    """Weights of chain and skip links by pseudo-likelihood: ``known`` tells of some words whether they are of a name.
-
-    The labels of all other nodes are those that the field gives them. ``hold`` is how many labels the weights from
-    before count as, so that few labels move them little.
-    """
+def link_rows(nodes: Nodes, known: dict[int, bool], model: Model) -> np.ndarray:
+    """(score, names beside it, names less others beside it, names less others among its skip links, whether a name, 1) of each
+    word of which ``known`` tells whether it is of a name. The labels of all other nodes are those that the field gives them."""
     if not known:
-        return model.links
+        return np.zeros((0, 6))
     labels = infer(nodes, model)
     for i, is_name in known.items():
         labels[i] = NAME if is_name else OTHER
@@ -371,20 +373,58 @@ def fit_links(nodes: Nodes, known: dict[int, bool], model: Model, rounds: int =
     for i, j, w in skip_links(nodes):
         far.setdefault(i, []).append((j, w))
         far.setdefault(j, []).append((i, w))
-    at = sorted(known)
-    unary = np.array([nodes.scores[i][NAME] - nodes.scores[i][OTHER] for i in at])
-    names = np.array([sum(labels[j] == NAME for j in side.get(i, ())) for i in at], dtype=float)
-    others = np.array([sum(labels[j] == OTHER for j in side.get(i, ())) for i in at], dtype=float)
-    same = np.array([sum(w if labels[j] == NAME else -w for j, w in far.get(i, ())) for i in at])
-    x = np.stack([names, names - others, same], axis=1)
-    y = np.array([known[i] for i in at], dtype=float)
-    prior = np.array(model.links)
-    w = prior.copy()
+    out = []
+    for i in sorted(known):
+        names = sum(labels[j] == NAME for j in side.get(i, ()))
+        others = sum(labels[j] == OTHER for j in side.get(i, ()))
+        same = sum(w if labels[j] == NAME else -w for j, w in far.get(i, ()))
+        out.append((nodes.scores[i][NAME] - nodes.scores[i][OTHER], names, names - others, same, known[i], 1))
+    return np.array(out, dtype=float)
+
+
+def likelihood(x: np.ndarray, unary: np.ndarray, y: np.ndarray, n: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Log-likelihood of a logistic regression, then its gradient, then what its Hessian is less than 0 by; rows count ``n`` times."""
+    z = unary + x @ w
+    p = 1 / (1 + np.exp(-np.clip(z, -500, 500)))
+    value = (n * (y * z - np.logaddexp(0, z))).sum()
+    return np.concatenate([[value], x.T @ (n * (y - p)), ((x * (n * p * (1 - p))[:, None]).T @ x).ravel()])
+
+
+def link_sums(rows: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Pseudo-likelihood of the links over rows of ``link_rows``; parts of the rows add up."""
+    return likelihood(rows[:, 1:4], rows[:, 0], rows[:, 4], rows[:, 5], w)
+
+
+def settled(sums, prior: np.ndarray, hold: float, rounds: int = 50) -> np.ndarray:
+    """The weights of the highest likelihood by Newton's method; ``hold`` is how much those from before hold them back,
+    so that few labels move them little."""
+    k = len(prior)
+
+    def at(w):
+        s = sums(w)
+        return s[0] - hold / 2 * ((w - prior) ** 2).sum(), s[1 : k + 1] - hold * (w - prior), s[k + 1 :].reshape(k, k) + hold * np.eye(k)
+
+    w = prior.astype(float)
+    value, grad, bent = at(w)
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(unary + x @ w, -30, 30)))
-        w += rate * ((x * (y - p)[:, None]).sum(0) - hold * (w - prior)) / (1 + len(at) / hold) ** 0.5
-        w = np.clip(w, 0.05, 12.0)
-    return tuple(float(v) for v in w)
+        step = np.linalg.solve(bent, grad)
+        if np.abs(step).max() < 1e-6:
+            break
+        while np.abs(step).max() >= 1e-9:
+            got = at(w + step)
+            if got[0] >= value:
+                break
+            step = step / 2
+        else:
+            break
+        w = w + step
+        value, grad, bent = got
+    return w
+
+
+def fit_links(sums, model: Model, hold: float = 25.0) -> tuple[float, float, float]:
+    """Weights of chain and skip links by pseudo-likelihood, which ``sums`` adds up over all rows."""
+    return tuple(float(v) for v in np.clip(settled(sums, np.array(model.links), hold), 0.05, 12.0))
 
 
 def find(texts: list, model: Model) -> list[tuple[int, int, int, int]]:

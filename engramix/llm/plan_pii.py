@@ -5,27 +5,27 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from engramix.llm import pii_rules as R
-from engramix.llm.pii import LABELLED, hashed, redact, spans_of, train
+from engramix.llm.pii import redact, spans_of, train
+from engramix.session import cut
 from engramix.sources.tables import read
 
 
 def _labelled(spark, folder):
-    """([(original, redacted)], [(text, entity_type, start_word, end_word)]): bounded samples of views with placeholders and of spans,
+    """(content, xs): each text of which something is known, with its views with placeholders and its spans,
     joined to the messages that carry their identifier letter by letter; one scan of the messages serves both."""
     views = read(spark, folder, "message_views", "message_id", "content").where(F.col("content").rlike(R._PLACEHOLDER.pattern) & F.col("message_id").isNotNull())
     spans = read(spark, folder, "ner_spans", "message_id", "entity_type", "start_word", "end_word").where("message_id is not null and entity_type is not null and start_word is not null and end_word is not null")
-    a = hashed(views, LABELLED, ["message_id", "content"]).select("message_id", F.struct(F.col("content").alias("view"), F.lit(None).cast("string").alias("kind"), F.lit(None).cast("int").alias("first"), F.lit(None).cast("int").alias("last")).alias("x"))
-    b = hashed(spans, LABELLED, ["message_id", "start_word", "end_word"]).select("message_id", F.struct(F.lit(None).cast("string").alias("view"), F.upper("entity_type").alias("kind"), F.col("start_word").alias("first"), F.col("end_word").alias("last")).alias("x"))
-    held = F.broadcast(a.unionByName(b).groupBy("message_id").agg(F.collect_set("x").alias("xs")))  # about 2 * LABELLED rows at most
-    texts = read(spark, folder, "ingest_messages", "message_id", "content").where("content is not null and length(content) < 20000")
-    rows = texts.join(held, "message_id").select("content", F.explode("xs").alias("x")).select("content", "x.*").distinct().orderBy("content", "view", "kind", "first", "last").collect()
-    return [(r["content"], r["view"]) for r in rows if r["view"]], [(r["content"], r["kind"], r["first"], r["last"]) for r in rows if r["kind"]]
+    a = views.select("message_id", F.struct(F.col("content").alias("view"), F.lit(None).cast("string").alias("kind"), F.lit(None).cast("int").alias("first"), F.lit(None).cast("int").alias("last")).alias("x"))
+    b = spans.select("message_id", F.struct(F.lit(None).cast("string").alias("view"), F.upper("entity_type").alias("kind"), F.col("start_word").cast("int").alias("first"), F.col("end_word").cast("int").alias("last")).alias("x"))
+    held = a.unionByName(b).groupBy("message_id").agg(F.collect_set("x").alias("xs"))
+    texts = read(spark, folder, "ingest_messages", "message_id", "content").where("content is not null")
+    return cut(texts.join(held, "message_id").select("content", F.explode("xs").alias("x")).groupBy("content").agg(F.collect_set("x").alias("xs")))
 
 
 def _model(spark, folder):
     texts = read(spark, folder, "ingest_messages", "content").where("content is not null").select(F.col("content").alias("t"))
     people = read(spark, folder, "participants", "kind", "display_name").where("lower(trim(kind)) = 'human'")
-    return train(texts, read(spark, folder, "ner_spans", "text", "entity_type"), people, *_labelled(spark, folder))
+    return train(texts, read(spark, folder, "ner_spans", "text", "entity_type"), people, _labelled(spark, folder))
 
 
 def _rows(spark, folder):

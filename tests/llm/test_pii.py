@@ -100,3 +100,32 @@ def test_links_and_scores_are_trained(spark, model):
     fs = R.mail_features("bot@queue.example")
     score = lambda right: sum(pii._whole_weights([(fs, right)] * 400).get(f, 0.0) for f in fs)
     assert score(False) < 1.0 and score(True) > 5.0
+
+
+def test_every_row_trains_the_weights(spark):
+    """Texts and placeholders beyond any sample: each has a word of its own beside its number, and each of them is learned."""
+    cues = [a + b + c for a in "bdfklmnprt" for b in "aeiou" for c in "lnrst"]
+    filler = [(f"The planner moved list {i}.",) for i in range(13_000)]
+    texts = spark.createDataFrame(filler + [(f"Call {w} 07700 900886 after six.",) for w in cues], "t string")
+    rows = [(f"Ring {w}ix 07700 {900000 + i}", [(f"Ring {w}ix [PHONE]", None, None, None)]) for i, w in enumerate(cues * 20)]
+    labelled = spark.createDataFrame(rows, "content string, xs array<struct<view: string, kind: string, first: int, last: int>>")
+    spans = spark.createDataFrame([(p, "PERSON") for p in PEOPLE], "text string, entity_type string")
+    got = pii.train(texts, spans, spark.createDataFrame([], "display_name string"), labelled)
+    assert {f"b1={w}" for w in cues} | {f"b1={w}ix" for w in cues} <= got.number.keys()
+    assert {"planner", "moved", "list"} <= got.common
+
+
+def test_rounds_over_executors_fit_the_same(spark, monkeypatch):
+    rows = spark.createDataFrame([(pii.SEP.join(["a", f"x{i % 7}"]), i % 3, float(i)) for i in range(1, 40)], "key string, label int, n double")
+    held = pii._fit(rows, 3)
+    labelled = spark.createDataFrame([(f"I spoke with {p} about it.", [("I spoke with <PERSON> about it.", None, None, None)]) for p in PEOPLE] + [(f"{f} wants it.", [(None, "ORG", 0, 3)]) for f in FIRMS[:6]], "content string, xs array<struct<view: string, kind: string, first: int, last: int>>")
+    links = pii._fit_links(labelled, R.Model())
+    monkeypatch.setattr(pii, "HELD", 0)
+    spread = pii._fit(rows, 3)
+    assert held.keys() == spread.keys() and all(abs(held[f] - spread[f]).max() < 1e-6 for f in held)
+    assert links != R.LINKS and pii._fit_links(labelled, R.Model()) == pytest.approx(links, abs=1e-6)
+
+
+def test_a_cue_before_another_number_is_not_of_the_next():
+    text = "tel +1 415 555 0173 Use 00109600-M now"
+    assert R.seed_of(text, 24, 34, 19) is None and R.seed_of(text, 4, 19) == R.PHONE
