@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import unicodedata
 from collections import Counter
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
 
 import numpy as np
 import regex
@@ -37,6 +37,10 @@ _DOTTED = regex.compile(r"(?:\p{L}{1,3}\.)+\p{L}{1,3}|(\p{Lu})\1")
 _UNCASED = regex.compile(r"[\p{Arabic}\p{Devanagari}\p{M}]{1,2}")
 _FIGURES = regex.compile(r"[\d.,]+")
 _PLAIN = regex.compile(r"\p{L}[\p{L}\p{M}'’]*")
+_AFTER = regex.compile(r"[\p{L}\p{M}'’]+")
+_LONGER = regex.compile(r"[\p{L}\p{N}][\p{L}\p{M}\p{N}'’]*")
+_BETWEEN = regex.compile(rf"[\p{{White_Space}}\p{{Cf}}\x1c-\x1f\"'“„«‹「『(（\[¿¡‚‘{regex.escape(CLOSERS)}]*")
+_JOINED = ".,'’-%€$£"
 _FIRST = regex.compile(r"[^\p{L}\p{N}]*([\p{L}\p{N}][\p{L}\p{M}\p{N}'’]*)")
 _ENDS = regex.compile(r"[.!?]+(?=(?:[\p{White_Space}]+([\p{Ll}\p{N}]|\p{Lu}[\p{L}\p{M}'’]*)|[,;:]))")
 
@@ -113,8 +117,8 @@ def starter_counts(text: str, starts: Counter, inside: Counter, parts: list[tupl
     inside.update(words)
 
 
-def mark_counts(text: str, is_start, out: Counter) -> None:
-    """Adds for each word with a mark ('approx.', 'Ping!') how often what follows goes on (0) or begins anew (1)."""
+def marked_words(text: str) -> Iterator[tuple[str, str | None, bool]]:
+    """(word with its mark: 'approx.' or 'Ping!', what follows it, whether that has a capital)."""
     least = 0
     for m in _ENDS.finditer(text):
         at = m.start()
@@ -127,14 +131,54 @@ def mark_counts(text: str, is_start, out: Counter) -> None:
         word, mark, follows = text[start:at], text[at], m.group(1)
         if _FIGURES.fullmatch(word):
             continue
-        key = word + mark
         if follows is None or not follows[0].isupper():
             small = _SMALL.match(text, m.end()) if follows else None
-            if small and is_start(small.group(1)):
-                continue
-            out[key, 0] += 1
+            yield word + mark, small.group(1) if small else None, False
         else:
+            yield word + mark, follows, True
+
+
+def mark_counts(text: str, is_start, out: Counter) -> None:
+    """Adds for each word with a mark how often what follows goes on (0) or begins anew (1); a small word that can begin tells nothing."""
+    for key, follows, capital in marked_words(text):
+        if capital:
             out[key, int(is_start(follows))] += 1
+        elif not (follows and is_start(follows)):
+            out[key, 0] += 1
+
+
+def small_of(word: str) -> str:
+    return word[:1].lower() + word[1:]
+
+
+def asked(text: str) -> tuple[set[str], set[str]]:
+    """Words and marked words of which ``sentences`` may ask the corpus, whatever it learns of the others."""
+    words = {follows for _, follows, _ in marked_words(text) if follows}
+    marks = set()
+    end = len(text)
+    for m in _END.finditer(text):
+        at = m.start()
+        w = text[_word_start(text, at, max(0, at - 40), _JOINED) : at].lstrip(".,'’-")
+        if w:
+            marks.add(w + ".")
+            if text[at] != ".":
+                marks.add(w + text[at])
+        at = m.end()
+        if text[at : at + 1] == " " and text[at + 1 : at + 2].isalpha():  # the plain case
+            words.add(text[at + 1 : _word_end(text, at + 1, end)])
+            continue
+        at = _BETWEEN.match(text, at).end()
+        if text[at : at + 1].isalpha():
+            words.add(text[at : _word_end(text, at, end)])
+        if found := _LONGER.match(text, at):
+            words.add(found.group())
+    for m in _MARKS.finditer(text):
+        at = m.end()
+        while at < end and text[at].isspace():
+            at += 1
+        if at < end and text[at].islower() and (found := _AFTER.match(text, at)):
+            words.add(found.group())
+    return words | {small_of(w) for w in words}, marks
 
 
 class Evidence:
@@ -149,7 +193,7 @@ class Evidence:
 
     def begins(self, word: str, starts: Counter | None = None, inside: Counter | None = None) -> bool:
         """Whether a word can begin a sentence: seen at starts, or seen small elsewhere if it has a capital."""
-        small = word[:1].lower() + word[1:]
+        small = small_of(word)
         for s, i in ((starts, inside), (self.starts, self.inside)):
             if s is None:
                 continue
@@ -269,7 +313,7 @@ def _split(text: str, a: int, b: int, begins, goes_on) -> list[int]:
         if closed and not run.startswith("…"):
             if any(not _stands_alone(text, s, start, b, begins, outer=True) for s in around if s[1] <= end and s[0] <= _first(text, start)):
                 continue
-        w = text[_word_start(text, m.start(), max(a, m.start() - 40), ".,'’-%€$£") : m.start()].lstrip(".,'’-")
+        w = text[_word_start(text, m.start(), max(a, m.start() - 40), _JOINED) : m.start()].lstrip(".,'’-")
         cut = True
         if run[0] in "。！？｡．।॥؟۔" or run[0] not in ".!?…":
             cut = True
@@ -346,7 +390,7 @@ def _stands_alone(text: str, span: tuple[int, int], start: int, b: int, begins,
     if rest[0] in ",;:،、，；：—–-":
         return False
     if rest[0].islower():
-        m = regex.match(r"[\p{L}\p{M}'’]+", rest)
+        m = _AFTER.match(rest)
         return begins(m.group())
     if rest[0] in PARTICLES:
         return False

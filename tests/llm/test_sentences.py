@@ -1,6 +1,8 @@
 from collections import Counter
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from engramix.llm import sentence_rules as S
 from engramix.llm import sentences as U
@@ -57,3 +59,52 @@ def test_rows(spark):
     assert Counter(str(r["doc_id"]) for r in got) == {"1": 4, "None": 1, "5": 3000}
     assert max(r["end_at"] for r in got if r["doc_id"] == 1) == 18
     assert U.sentence_units(df.where("false")).count() == 0
+
+
+class Heard(S.Evidence):
+    """Evidence that answers by a seed and keeps what it was asked of the corpus."""
+
+    def __init__(self, seed):
+        self.words, self.keys = set(), set()
+        outer = self
+
+        class Words:
+            def get(self, word, default=None):
+                outer.words.add(word)
+                return (seed * 7 + sum(map(ord, word))) % 3
+
+        class Marks(Words):
+            def get(self, key, default=None):
+                outer.keys.add(key[0])
+                return (seed * 5 + sum(map(ord, key[0])) + key[1]) % 3
+
+        super().__init__(Words(), Words(), Marks(), holds=True)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from([*"aBc .!?…。“”\"'’)(«»]-3Ⅷ\n\x1c​", "Dr.", "approx.", "the", "List", "3.5", "! ", ". ", "? \"", ".” ", "ครับ", "说", "é", "（", "）", "\xa0", "* ", "1. ", "Oda: "]), max_size=40).map("".join), st.integers(0, 5))
+def test_asked_holds_all_that_is_asked(text, seed):
+    heard = Heard(seed)
+    S.sentences(text, heard)
+    words, marks = S.asked(text)
+    assert heard.words <= words and heard.keys <= marks
+
+
+def test_rare_words_are_evidence_too(spark, monkeypatch):
+    """Words below the share that is broadcast are joined to the documents that may ask for them, with the same units."""
+    texts = [*CORPUS, "Dr. Quorley lost approx. Three of it. quillix ran. It ran.", "They saw Zorvane. quillix ran. Nobody saw it, esp. Zorvane.", "quillix waits.\n\nquillix ran.", "A list of zorvane ran!"] * 2
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    rows = lambda: sorted(map(tuple, U.sentence_units(df).collect()))
+    starts, inside, marks = Counter(), Counter(), Counter()
+    for t in texts:
+        S.starter_counts(t, starts, inside)
+    first = S.Evidence(starts, inside, {})
+    for t in texts:
+        S.mark_counts(t, first.begins, marks)
+    whole = S.Evidence(starts, inside, marks, holds=True)
+    want = sorted((i, no, at) for i, t in enumerate(texts) for no, at in enumerate(S.end_at(t, S.sentences(t, whole)), 1))
+    assert rows() == want
+    for share in (5, 1):
+        monkeypatch.setattr(U, "SHARE", share)
+        assert not U.evidence(df.selectExpr("text as t"))[1].isEmpty()
+        assert rows() == want
